@@ -43,7 +43,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
