@@ -10,9 +10,11 @@ from quillstream.llm import line_dedup, topk_search
 from quillstream.llm.bpe import op6_bpe
 from quillstream.llm.common import load
 from quillstream.llm.jaccard_join import op1_jaccard_join
+from quillstream.llm.langid import op8_language_id
 from quillstream.llm.line_dedup import op4_line_dedup
 from quillstream.llm.secret_scan import op5_secret_scan
 from quillstream.llm.topk_search import op10_topk_search
+from quillstream.llm.toxicity import op9_toxicity
 from quillstream.llm.warc import op7_warc
 from quillstream.llm.winnow import op3_fingerprints
 
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": lambda s, d: op5_secret_scan(load(s, d, "documents")),
         "op6_bpe": _bpe,
         "op7_warc": lambda s, d: op7_warc(load(s, d, "pages")),
+        "op8_language_id": lambda s, d: op8_language_id(load(s, d, "documents")),
+        "op9_toxicity": lambda s, d: op9_toxicity(load(s, d, "documents"), load(s, d, "labels")),
         "op10_topk_search": lambda s, d: op10_topk_search(load(s, d, "embeddings")),
     }
 
