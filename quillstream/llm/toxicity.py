@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import ship, slices, texts
 
 #: Labelled rows of each label that a model is fitted on at most.
-PER_LABEL = 3000
-#: Terms kept at most, how many toxic examples hold each at least, and their log-odds at least.
-VOCABULARY, MIN_EXAMPLES, MIN_LOG_ODDS = 8192, 4, 2.0
+PER_LABEL = 4000
+#: Terms kept at most, how many toxic examples hold each at least (also as a share), and their log-odds at least.
+VOCABULARY, MIN_EXAMPLES, MIN_SHARE, MIN_LOG_ODDS = 8192, 3, 0.015, 2.5
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK = 16, 64
 #: Votes' weight of the prior.
-SMOOTHING = 0.02
+SMOOTHING = 0.25
 #: Words that a worker remembers at most.
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+")
@@ -100,23 +100,34 @@ class ToxicityModel:
             return
         class_weight = [totals[y] / sampled[y] for y in (0, 1)]
         words = [Counter(WORD.findall(t.lower())) for _, t, _ in examples]
+        # terms are chosen on one half of each label and votes come from the other, so that a term which is
+        # toxic by chance has its other documents among the neighbours
+        half, seen = [], [0, 0]
+        for _, _, y in examples:
+            half.append(seen[y] % 2)
+            seen[y] += 1
         df = [Counter(), Counter()]
-        for (_, _, y), w in zip(examples, words, strict=True):
-            df[y].update({t for x in w for t in terms_of(x)})
+        n_half = [0, 0]
+        for (_, _, y), w, h in zip(examples, words, half, strict=True):
+            if h == 0:
+                df[y].update({t for x in w for t in terms_of(x)})
+                n_half[y] += 1
+        least = max(MIN_EXAMPLES, MIN_SHARE * n_half[1])
         odds = {}
         for t, a in df[1].items():
-            if a >= MIN_EXAMPLES:
-                odds[t] = math.log((a + 0.5) / (sampled[1] + 1)) - math.log((df[0][t] + 0.5) / (sampled[0] + 1))
+            if a >= least:
+                odds[t] = math.log((a + 0.5) / (n_half[1] + 1)) - math.log((df[0][t] + 0.5) / (n_half[0] + 1))
         kept = sorted((t for t, x in odds.items() if x >= MIN_LOG_ODDS), key=lambda t: (-df[1][t] * odds[t], t))[:VOCABULARY]
         self.vocab = {t: i for i, t in enumerate(kept)}
-        n = len(examples)
+        n = sum(n_half)
         self.idf = np.array([math.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in kept])
-        vectors = [self.vector(w) for w in words]
         self.ids, self.labels = [], []
         empty = [0.0, 0.0]
         held = []
-        for (i, _, y), v in zip(examples, vectors, strict=True):
-            if v:
+        for (i, _, y), w, h in zip(examples, words, half, strict=True):
+            if h == 0:
+                continue
+            if v := self.vector(w):
                 self.ids.append(i)
                 self.labels.append(y)
                 held.append(v)
@@ -144,11 +155,11 @@ class ToxicityModel:
         return {i: float(x / norm) for i, x in v.items()} if norm else {}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Similarity-weighted share of toxic neighbours, drawn to the prior where they are far."""
+        """Share of toxic neighbours weighted by squared cosine, drawn to the prior where all are far."""
         if not near:
             return self.prior
         at = np.array([i for _, i in near])
-        w = np.array([c for c, _ in near]) * self.weight[at]
+        w = np.array([c * c for c, _ in near]) * self.weight[at]
         smooth = SMOOTHING * float(self.weight[at].mean())
         return float(((w * self.y[at]).sum() + smooth * self.prior) / (w.sum() + smooth))
 
