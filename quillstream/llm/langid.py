@@ -1,6 +1,6 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed 1- to 4-grams of the code points of a normalised text (lower case, runs of other than
+Features are hashed 1- to 3-grams of the code points of a normalised text (lower case, runs of other than
 letters as one blank).  Document frequencies come from all documents that may be learned from, one pass that
 yields a bounded vector of counts per task.  Weights are trained by follow-the-regularised-leader (per-coordinate
 rates) with L1 and L2 penalties, on a bounded sample of labelled rows (``per_language`` of each language, lowest
@@ -20,42 +20,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import ship, slices, texts
 from quillstream.llm.toxicity import remainder
 
-BUCKETS = 1 << 15
-SIZES = (1, 2, 3, 4)
+BUCKETS = 1 << 14
+SIZES = (1, 2, 3)
 #: Labelled rows per language, and languages (the most frequent), that the model is fitted on at most.
 PER_LANGUAGE, LANGUAGES = 600, 256
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 4
-_NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 UNKNOWN = "und"
+_letters: list[np.ndarray] = []
 
 
-def normalise(text: str) -> str:
-    """Lower-case letters, anything else as single blanks; empty without a letter."""
-    inner = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    return f" {inner} " if inner else ""
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
+    return _letters[0]
 
 
-def counts(text: str) -> np.ndarray:
+def normalise(text: str) -> np.ndarray:
+    """Code points of a text in lower case, with anything but letters as single blanks; empty without a letter."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not len(codes):
+        return codes
+    inner = letters()[codes]
+    before = np.concatenate(([False], inner[:-1]))
+    out = np.where(inner, codes, np.uint32(0x20))[inner | before]
+    return np.concatenate((np.array([0x20], dtype=np.uint32), out)) if inner.any() else codes[:0]
+
+
+def counts(codes: np.ndarray) -> np.ndarray:
     """How often each hashed n-gram occurs in a normalised text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    out = np.zeros(BUCKETS, dtype=np.int64)
+    wide, found = codes.astype(np.uint64), []
     h = np.zeros(len(codes), dtype=np.uint64)
     for n in SIZES:
         if len(codes) < n:
             break
-        h = (h[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(n)) * _SALT
-        x = (h ^ (h >> np.uint64(29))) * _M1
-        out += np.bincount((x >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
-    return out
+        h = (h[: len(codes) - n + 1] + wide[n - 1 :] + np.uint64(n)) * _SALT
+        found.append(((h ^ (h >> np.uint64(29))) * _M1) >> np.uint64(50))
+    return np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS) if found else np.zeros(BUCKETS, dtype=np.int64)
 
 
 def tfidf(c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +95,7 @@ class LanguageModel:
         rng = np.random.default_rng(7)
         at = {lang: i for i, lang in enumerate(self.languages)}
         rows = [(normalise(t), at[lang]) for _, t, lang in sorted(rows)]
-        feats = [(tfidf(counts(t), self.idf), y) for t, y in rows if t]
+        feats = [(tfidf(counts(t), self.idf), y) for t, y in rows if len(t)]
         order = rng.permutation(len(feats))
         n_held = len(feats) // 5
         held, train = order[:n_held], order[n_held:]
@@ -119,12 +128,18 @@ class LanguageModel:
             grid = np.geomspace(0.05, 5, 60)
             self.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def posteriors(self, text: str) -> np.ndarray | None:
+        """Calibrated probabilities of the languages; None without a letter or a language."""
         inner = normalise(text)
-        if not inner or not self.languages:
-            return UNKNOWN, 0.0
+        if not len(inner) or not self.languages:
+            return None
         i, x = tfidf(counts(inner), self.idf)
-        p = softmax((x @ self.weights[i]) / self.temperature)
+        return softmax((x @ self.weights[i]) / self.temperature)
+
+    def predict(self, text: str) -> tuple[str, float]:
+        p = self.posteriors(text)
+        if p is None:
+            return UNKNOWN, 0.0
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 

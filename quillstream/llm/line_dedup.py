@@ -42,14 +42,15 @@ def lines_of(text: Column) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per input row: ``id_col``, text (kept lines), n_lines, n_dropped.
+    """One row per input row: ``id_col``, text (kept lines), n_lines, n_dropped, and the columns named in ``carry``.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines
     everywhere but in the largest id that holds it.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
     held = materialize(
         rows.select("id", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("k")).select("id", "k.*"),
@@ -79,11 +80,13 @@ def line_dedup(
         F.col("id").alias(id_col),
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays)).alias("kept"),
+        "carried",
     ).select(
         id_col,
         F.array_join("kept", "\n").alias("text"),
         "n_lines",
         (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
+        *[F.col(f"carried.{c}") for c in carry],
     )
 
 

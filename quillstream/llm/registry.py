@@ -12,6 +12,7 @@ from quillstream.llm.common import load
 from quillstream.llm.jaccard_join import op1_jaccard_join
 from quillstream.llm.langid import op8_language_id
 from quillstream.llm.line_dedup import op4_line_dedup
+from quillstream.llm.mixing import op2_mixing
 from quillstream.llm.secret_scan import op5_secret_scan
 from quillstream.llm.topk_search import op10_topk_search
 from quillstream.llm.toxicity import op9_toxicity
@@ -28,6 +29,7 @@ def _bpe(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": lambda s, d: op1_jaccard_join(load(s, d, "documents")),
+        "op2_mixing": lambda s, d: op2_mixing(load(s, d, "documents")),
         "op3_fingerprints": lambda s, d: op3_fingerprints(load(s, d, "documents")),
         "op4_line_dedup": lambda s, d: op4_line_dedup(load(s, d, "documents")),
         "op5_secret_scan": lambda s, d: op5_secret_scan(load(s, d, "documents")),

@@ -250,6 +250,22 @@ def toxicity(
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns; no shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for batch in slices(whole, at):
+                yield batch.filter(pa.array([m.score(t)[0] < threshold for t in texts(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = toxicity(docs, fit(docs, labels))
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
