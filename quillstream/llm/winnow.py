@@ -150,7 +150,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = {r.bucket: (r.f.key, r.f.tie) for r in dealt.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).collect()}
     order = sorted(firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the first range's first row closes the last range
-    first = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(firsts[b][0]), F.lit(firsts[b][1])))])
+    first = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(firsts[b][0]).cast("long").alias("key"), F.lit(firsts[b][1]).cast("long").alias("tie")))])
     is_first = first[F.col("bucket")] == F.struct("key", "tie")
     back = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])
     copies = F.when(
