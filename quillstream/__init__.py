@@ -1,0 +1 @@
+"""Spark-native hybrid retrieval, evidence assembly and corpus operators."""
