@@ -13,7 +13,7 @@
 
 Families of copies: a first round files each set under two of its keys only and pairs it with the first fitting
 leader of its block, which joins a family by one link per member.  The second round drops every key whose sets
-already are in one component, and compares sets of different components alone.  So a family of m near copies
+already are in one component, compares sets of different components alone, and of keys that file the same sets it keeps one.  So a family of m near copies
 costs about m comparisons and links, no key gathers more than a block (pairs of blocks are tasks of their own),
 and any link between components is still found: the result's components are those of all links.
 
@@ -82,8 +82,8 @@ def prefix_size(n: int, pct: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit per hash, in as many bits as the next power of two above the set's size, 64 at least."""
-    width = 1 << max(6, int(len(s) - 1).bit_length() + 1)
+    """A bit per hash, in four to eight times as many bits as there are elements, a power of two."""
+    width = 1 << max(6, int(len(s) - 1).bit_length() + 2)
     bits = np.zeros(width, dtype=bool)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -165,48 +165,88 @@ class Group:
                     at = end
 
 
-def _pairs_schema(a, b):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _leaders(pct: int):
-    """Group function: each set with the first leader that fits it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        g = Group(*(table.column(c).to_numpy() for c in ("id", "n", "id", "side")), [x.as_py() for x in table.column("bits")])
-        leader = np.full(len(g.ids), -1)
-        for i, j, fit in g.tiles(pct):
-            for r in np.nonzero(fit.any(axis=1))[0]:
-                me = i[r]
-                if leader[me] >= 0:  # not a leader itself
-                    continue
+def _leaders(g: Group, pct: int) -> list[tuple[int, int]]:
+    """Each set with the first leader that fits it."""
+    leader = np.full(len(g.ids), -1)
+    for i, j, fit in g.tiles(pct):
+        for r in np.nonzero(fit.any(axis=1))[0]:
+            me = i[r]
+            if leader[me] < 0:  # a leader itself
                 mine = j[fit[r]]
-                mine = mine[leader[mine] < 0]
-                leader[mine] = me
-        led = np.nonzero(leader >= 0)[0]
-        return pa.table({"a": pa.array(g.ids[leader[led]], pa.int64()), "b": pa.array(g.ids[led], pa.int64())})
+                leader[mine[leader[mine] < 0]] = me
+    return [(int(g.ids[leader[x]]), int(g.ids[x])) for x in np.nonzero(leader >= 0)[0]]
+
+
+def _across(g: Group, pct: int) -> list[tuple[int, int]]:
+    """All fitting pairs of sets with different labels; of two blocks, pairs between them only."""
+    between = bool((g.sides != g.sides[0]).any())
+    out: list[tuple[int, int]] = []
+    for i, j, fit in g.tiles(pct):
+        fit = fit & (g.labels[i][:, None] != g.labels[j][None, :])
+        if between:
+            fit &= g.sides[i][:, None] != g.sides[j][None, :]
+        x, y = np.nonzero(fit)
+        out += zip(g.ids[i[x]].tolist(), g.ids[j[y]].tolist(), strict=True)
+    return out
+
+
+def pair_fits(n: list[int], bits: list[bytes], pct: int) -> bool:
+    """The bound for a single pair."""
+    x, y = (int.from_bytes(b, "little") for b in bits)
+    wide, narrow = max(len(b) for b in bits) * 8, min(len(b) for b in bits) * 8
+    if wide > 2 * narrow or min(n) * 100 < max(n) * pct:
+        return False
+    if wide > narrow:
+        mask = (1 << narrow) - 1
+        x, y = (x & mask) | (x >> narrow), (y & mask) | (y >> narrow)
+    common = (x & y).bit_count()
+    return common + min(n[0] - x.bit_count(), n[1] - y.bit_count()) >= needed(n[0], n[1], pct)
+
+
+def _by_group(pairs_of, pct: int):
+    """Map function over rows (key, p, q, side, id, n, label, bits) sorted by group: pairs (a, b) of each group.
+
+    A group is a block, or two blocks, of one key; it is the only thing that is held.
+    """
 
-    return run
+    def group(ids, n, labels, sides, bits) -> list[tuple[int, int]]:
+        if len(ids) == 1 or (pairs_of is _across and len(set(labels)) == 1):
+            return []
+        if len(ids) == 2:
+            first, second = sorted(range(2), key=lambda r: (n[r], ids[r]))
+            return [(ids[first], ids[second])] if pair_fits(n, bits, pct) else []
+        return pairs_of(Group(np.array(ids), np.array(n), np.array(labels), np.array(sides), bits), pct)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, None
+        found: list[tuple[int, int]] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                cols = [c.to_pylist() for c in whole.slice(at, 4096).columns]
+                keys = list(zip(*cols[:3], strict=True))
+                ids, n, labels, sides, bits = cols[4], cols[5], cols[6], cols[3], cols[7]
+                rows = (ids, n, labels, sides, bits)
+                starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+                for a, b in zip(starts, starts[1:], strict=False):
+                    if keys[a] == held_key:
+                        for h, c in zip(held, rows, strict=True):
+                            h += c[a:b]
+                        continue
+                    if held:
+                        found += group(*held)
+                    held_key, held = keys[a], [c[a:b] for c in rows]
+                if len(found) > 20_000:
+                    yield _pairs(found)
+                    found = []
+        if held:
+            found += group(*held)
+        yield _pairs(found)
 
-def _across(pct: int):
-    """Group function: all fitting pairs of sets with different labels; of two blocks, pairs between them only."""
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        g = Group(*(table.column(c).to_numpy() for c in ("id", "n", "label", "side")), [x.as_py() for x in table.column("bits")])
-        between = len(np.unique(g.sides)) > 1
-        a, b = [], []
-        for i, j, fit in g.tiles(pct):
-            fit = fit & (g.labels[i][:, None] != g.labels[j][None, :])
-            if between:
-                fit &= g.sides[i][:, None] != g.sides[j][None, :]
-            x, y = np.nonzero(fit)
-            a.append(g.ids[i[x]])
-            b.append(g.ids[j[y]])
-        none = [np.empty(0, dtype=np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
 
-    return run
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
 def _sets(k: int):
@@ -248,21 +288,26 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, pct: int, tag: str) ->
     return materialize(met.mapInArrow(_verify(pct), "a long, b long").distinct(), f"{tag}-links")
 
 
-def _blocks(filed: DataFrame, pct_fn, all_pairs: bool) -> DataFrame:
-    """Deal rows (key, id, n, label, bits) of a key to blocks, and, if wanted, to each pair of blocks, then apply."""
-    sizes = filed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    big = sizes.filter("parts > 1")
-    rows = filed.join(big, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def _distinct_groups(filed: DataFrame) -> DataFrame:
+    """One key of those that file the same sets, of keys with two sets at least: (key, parts), parts the blocks of its sets."""
+    seen = filed.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.sum(F.xxhash64(F.lit("s"), "id").cast("decimal(38,0)")).alias("h2")
+    )
+    return seen.filter("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+
+
+def _blocks(filed: DataFrame, bitmaps: DataFrame, pairs_of, pct: int, all_pairs: bool) -> DataFrame:
+    """Deal rows (key, id, label) of a key to blocks, and, if wanted, to each pair of blocks; pairs (a, b) of each."""
+    rows = filed.join(_distinct_groups(filed), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     if all_pairs:
         # block p meets itself, and each other block in the task (lower, higher)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     else:
         rows = rows.withColumn("other", F.col("part"))
-    dealt = rows.select(
+    dealt = rows.join(bitmaps, "id").select(
         "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.col("part").alias("side"), "id", "n", "label", "bits"
     )
-    return dealt.groupBy("key", "p", "q").applyInArrow(pct_fn, "a long, b long")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_by_group(pairs_of, pct), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,14 +335,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: s
 
     two = live.groupBy("id").agg(F.min(F.struct("pos", "key")).alias("x"), F.max(F.struct("pos", "key")).alias("y"))
     two = two.select("id", F.explode(F.array_distinct(F.array("x.key", "y.key"))).alias("key"))
-    first = _blocks(two.join(bitmaps, "id").withColumn("label", F.col("id")), _leaders(pct), all_pairs=False)
+    first = _blocks(two.withColumn("label", F.col("id")), bitmaps, _leaders, pct, all_pairs=False)
     links = _verified(first, rows, words, pct, "first")
     label = materialize(components(links), "labels")
 
     labelled = live.select("key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = labelled.join(mixed, "key").join(bitmaps, "id").select("key", "id", "n", "label", "bits")
-    more = _verified(_blocks(rest, _across(pct), all_pairs=True), rows, words, pct, "second")
+    rest = labelled.join(mixed, "key").select("key", "id", "label")
+    more = _verified(_blocks(rest, bitmaps, _across, pct, all_pairs=True), rows, words, pct, "second")
     # components of components: the first round's stars and the second round's links
     joined = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
