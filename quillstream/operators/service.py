@@ -26,8 +26,8 @@ NO_EVIDENCE_TEXT = "표시할 수 있는 검증 근거가 없습니다."
 UNKNOWN_SOURCE = "출처 정보 없음"
 ANSWER_HEAD, REASON_HEAD, REFERENCE_HEAD = "답변", "근거", "참조"
 QUESTION_CHARS, MAX_TOP_K, MAX_IMAGES, NAME_CHARS, IMAGE_CHARS, IMAGE_BYTES, QUERY_CHARS = 2000, 50, 4, 160, 10_000_000, 5 * 1024 * 1024, 6000
-UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
-BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?\z"
+BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 
 
 def gate(result_count: Column, filtered_all: Column) -> dict[str, Column]:

@@ -161,13 +161,13 @@ def q19_prompt_body(r):
 @plan_query
 def q20_cited_ids(r):
     cited = evidence.cited_ids(evidence.parse_payload(evidence.stub_model(r.items)))
-    return cited.select("qid", F.col("at").cast("long").alias("at"), "evidence_id")
+    return cited.select("qid", F.col("at").cast("long").alias("cite_no"), "evidence_id")
 
 
 @plan_query
 def q21_citation_join(r):
     cited = evidence.cited_ids(evidence.parse_payload(evidence.stub_model(r.items)))
-    return evidence.cited_evidence(cited, r.items).select("qid", F.col("at").cast("long").alias("at"), "evidence_id", "citation", F.md5(F.encode("statement", "UTF-8")).alias("statement_md5"), "candidate_source")
+    return evidence.cited_evidence(cited, r.items).select("qid", F.col("at").cast("long").alias("cite_no"), "evidence_id", "citation", F.md5(F.encode("statement", "UTF-8")).alias("statement_md5"), "candidate_source")
 
 
 @query
@@ -249,7 +249,7 @@ def q31_request_validation(spark, d):
 @query
 def q32_image_validation(spark, d):
     doc = corpus.table(spark, d, "documents")
-    data = F.base64(F.encode("text", "UTF-8"))
+    data = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")  # one line
     broken = F.when(F.col("doc_id") % 5 == 1, F.concat(data, F.lit("\n"))).when(F.col("doc_id") % 5 == 2, F.lit("")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("*"), data)).otherwise(data)
     mime = _picked(F.col("doc_id"), *["image/png", "image/jpeg", "image/webp", "image/gif", "image/bmp", "text/plain"])
     rows = doc.select("doc_id", mime.alias("mime"), broken.alias("data"))
