@@ -99,7 +99,6 @@ class ToxicityModel:
         if not self.usable:
             return
         class_weight = [totals[y] / sampled[y] for y in (0, 1)]
-        words = [Counter(WORD.findall(t.lower())) for _, t, _ in examples]
         # terms are chosen on one half of each label and votes come from the other, so that a term which is
         # toxic by chance has its other documents among the neighbours
         half, seen = [], [0, 0]
@@ -107,16 +106,23 @@ class ToxicityModel:
             half.append(seen[y] % 2)
             seen[y] += 1
         df = [Counter(), Counter()]
-        n_half = [0, 0]
-        for (_, _, y), w, h in zip(examples, words, half, strict=True):
-            if h == 0:
-                df[y].update({t for x in w for t in terms_of(x)})
-                n_half[y] += 1
+        n_half = [sum(e[2] == y and h == 0 for e, h in zip(examples, half, strict=True)) for y in (0, 1)]
         least = max(MIN_EXAMPLES, MIN_SHARE * n_half[1])
+
+        def terms(text: str) -> set[str]:
+            return {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
+
+        # toxic examples first: of the others only terms that can still be chosen are counted
+        for (_, text, y), h in zip(examples, half, strict=True):
+            if h == 0 and y:
+                df[1].update(terms(text))
+        df[1] = Counter({t: a for t, a in df[1].items() if a >= least})
+        for (_, text, y), h in zip(examples, half, strict=True):
+            if h == 0 and not y:
+                df[0].update(t for t in terms(text) if t in df[1])
         odds = {}
         for t, a in df[1].items():
-            if a >= least:
-                odds[t] = math.log((a + 0.5) / (n_half[1] + 1)) - math.log((df[0][t] + 0.5) / (n_half[0] + 1))
+            odds[t] = math.log((a + 0.5) / (n_half[1] + 1)) - math.log((df[0][t] + 0.5) / (n_half[0] + 1))
         kept = sorted((t for t, x in odds.items() if x >= MIN_LOG_ODDS), key=lambda t: (-df[1][t] * odds[t], t))[:VOCABULARY]
         self.vocab = {t: i for i, t in enumerate(kept)}
         n = sum(n_half)
@@ -124,10 +130,10 @@ class ToxicityModel:
         self.ids, self.labels = [], []
         empty = [0.0, 0.0]
         held = []
-        for (i, _, y), w, h in zip(examples, words, half, strict=True):
+        for (i, text, y), h in zip(examples, half, strict=True):
             if h == 0:
                 continue
-            if v := self.vector(w):
+            if v := self.vector(Counter(WORD.findall(text.lower()))):
                 self.ids.append(i)
                 self.labels.append(y)
                 held.append(v)
@@ -225,7 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
     spark = docs.sparkSession
     picked = spark.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")  # 2 * per_label rows at most
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "text", "y").collect()
-    return ToxicityModel([(r.id, r.text or "", r.y) for r in got], (count.get(0, 0), count.get(1, 0)))
+    examples = [(r.id, r.text or "", r.y) for r in got]
+    del got
+    return ToxicityModel(examples, (count.get(0, 0), count.get(1, 0)))
 
 
 def toxicity(
