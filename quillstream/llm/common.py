@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+        own = tempfile.mkdtemp(prefix="quillstream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
