@@ -1,17 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine with all examples over all their terms.
 
-Terms are words and word prefixes; the vocabulary keeps those whose log-odds between the labels is high, so
-cosine compares what tells the labels apart and not the bulk of common words.  The examples (a bounded sample
-of labelled rows, ``per_label`` of each label, lowest hash first) are indexed by term; postings are cut into
-blocks of examples with the largest weight of each block.  A query bounds every block's best cosine from these
-maxima, scores blocks in falling order of bound, and stops when no block can reach the k-th best: the k nearest
-are exact.  Their distance-weighted vote, with classes weighted by their share among all labelled rows, is
-calibrated by a logistic fit on leave-one-out votes; the neighbours are the evidence.
+Terms are words and word prefixes.  Every example (a bounded sample of labelled rows, ``per_label`` of each
+label, lowest hash first) is indexed by all its terms; a term's inverse document frequency is lowered, down to
+``FLOOR``, unless its log-odds between the labels is surely high, so cosine rests on what tells the labels apart
+where a text has such terms, and on the bulk of its words where it has none.  Cosines with all examples are
+summed in single precision, frequent terms as one matrix product and the others from postings; all that may be
+among the k nearest are then computed in double precision: the k nearest are exact.  Their distance-weighted
+vote, with classes weighted by their share among all labelled rows, is calibrated by a logistic fit on
+leave-one-out votes; the neighbours are the evidence.
 
-The model is small whatever the corpus (bounded examples and vocabulary), so it is broadcast; texts are scored
-whole, in one pass without a shuffle.
+The model is small whatever the corpus (bounded examples), so it is broadcast; texts are scored whole, in one
+pass without a shuffle.
 
-Defined results: a null or empty text, or one without vocabulary terms, gets the rate of such examples (0 where
+Defined results: a null or empty text, or one without a term of any example, gets the rate of such examples (0 where
 the sample has none) and no evidence; without labelled rows of both kinds every score is 0; a document labelled
 more than once is toxic if any row says so; rows that repeat an id are scored each; further columns are ignored.
 """
@@ -19,7 +20,9 @@ more than once is toxic if any row says so; rows that repeat an id are scored ea
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,16 +35,22 @@ from quillstream.llm.common import ship, slices, texts
 
 #: Labelled rows of each label that a model is fitted on at most.
 PER_LABEL = 4000
-#: Terms kept at most, how many toxic examples hold each at least (also as a share), and their log-odds at least.
-VOCABULARY, MIN_EXAMPLES, MIN_SHARE, MIN_LOG_ODDS = 8192, 3, 0.015, 2.5
+#: A term's weight is its inverse document frequency times a factor from FLOOR to 1, 1 where the lower bound of
+#: its log-odds is LOG_ODDS or more.
+FLOOR, LOG_ODDS = 0.05, 2.5
 PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK = 16, 64
+NEIGHBOURS = 16
+#: Terms in more than one of so many examples are summed as a matrix; texts scored at once.
+DENSE, TEXTS = 16, 32
+#: More than the error of a cosine summed in single precision.
+SLACK = 1e-4
+#: Power by which votes fall with the cosine relative to the nearest example.
+SHARPNESS = 6
 #: Votes' weight of the prior.
 SMOOTHING = 0.25
 #: Words that a worker remembers at most.
-CACHE = 400_000
+CACHE = 100_000
 WORD = re.compile(r"[^\W_]+")
-EPS = 1e-9
 
 
 def terms_of(word: str) -> list[str]:
@@ -49,43 +58,75 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
-class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples with the largest weight of each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                postings[t].append((i, x))
-        self.docs = [np.array([i for i, _ in p], dtype=np.int64) for p in postings]
-        self.weights = [np.array([x for _, x in p]) for p in postings]
-        self.blocks, self.cuts, self.most = [], [], []
-        for d, x in zip(self.docs, self.weights, strict=True):
-            b, first = np.unique(d // block, return_index=True)
-            self.blocks.append(b)
-            self.cuts.append(np.append(first, len(d)))
-            self.most.append(np.maximum.reduceat(x, first) if len(x) else x)
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k (cosine, example) with the highest positive cosines, ties to the smaller example."""
-        bound = np.zeros(-(-self.n // self.block) if self.n else 0)
-        for t, x in query.items():
-            bound[self.blocks[t]] += x * self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - EPS):
-                break
-            scores = np.zeros(self.block)
-            for t, x in query.items():
-                at = np.searchsorted(self.blocks[t], b)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    lo, hi = self.cuts[t][at], self.cuts[t][at + 1]
-                    scores[self.docs[t][lo:hi] - b * self.block] += x * self.weights[t][lo:hi]
-            i = np.nonzero(scores > 0)[0]
-            best += [(round(float(scores[j]), 12), int(j) + b * self.block) for j in i.tolist() if int(j) + b * self.block != skip]
-            best = sorted(best, key=lambda e: (-e[0], e[1]))[:k]
-        return best
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+class ExampleIndex:
+    """Unit vectors of examples, by term for sums and by example for exact cosines."""
+
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray):
+        """``examples`` are (terms, counts) of each example, ``weight`` is of each term."""
+        self.weight = weight
+        self.size = np.array([len(t) for t, _ in examples], dtype=np.int64)
+        self.terms = np.concatenate([t for t, _ in examples]) if examples else np.empty(0, dtype=np.int32)
+        self.counts = np.concatenate([c for _, c in examples]) if examples else np.empty(0, dtype=np.int32)
+        self._build()
+
+    def __getstate__(self) -> bytes:
+        """Only what the rest is built from, compressed: a broadcast is on disk more than once."""
+        return zlib.compress(pickle.dumps((self.weight, self.size, self.terms, self.counts), protocol=5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.weight, self.size, self.terms, self.counts = pickle.loads(zlib.decompress(state))
+        self._build()
+
+    def _build(self) -> None:
+        weight, self.n = self.weight, len(self.size)
+        self.first = np.cumsum(self.size) - self.size
+        row = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+        x = (1 + np.log(self.counts)) * weight[self.terms]
+        self.norm = np.sqrt(np.bincount(row, x * x, self.n))
+        x = (x / self.norm[row]).astype(np.float32)
+        df = np.bincount(self.terms, minlength=len(weight))
+        often = np.nonzero(df * DENSE > self.n)[0]
+        self.column = np.full(len(weight), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        at = self.column[self.terms]
+        self.matrix = np.zeros((len(often), self.n), dtype=np.float32)
+        self.matrix[at[at >= 0], row[at >= 0]] = x[at >= 0]
+        seldom = np.nonzero(at < 0)[0]
+        seldom = seldom[np.argsort(self.terms[seldom], kind="stable")]
+        self.docs, self.values = row[seldom], x[seldom]
+        self.df = np.where(self.column < 0, df, 0)
+        self.start = np.cumsum(self.df) - self.df
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each unit vector (terms, values) the k (cosine, example) of highest positive cosine, ties to the smaller example."""
+        often = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        for b, (t, x) in enumerate(queries):
+            at = self.column[t]
+            often[b, at[at >= 0]] = x[at >= 0]
+        sums = often @ self.matrix
+        values, out = np.zeros(len(self.weight)), []
+        for b, (t, x) in enumerate(queries):
+            size = self.df[t]
+            at = ranges(self.start[t], size)
+            sums[b] += np.bincount(self.docs[at], self.values[at] * np.repeat(x, size), self.n)
+            if skip:
+                sums[b, skip[b]] = 0
+            least = np.partition(sums[b], self.n - k)[self.n - k] - SLACK if self.n > k else 0
+            i = np.nonzero((sums[b] > 0) & (sums[b] >= least))[0]
+            values[t] = x
+            at = ranges(self.first[i], self.size[i])
+            terms = self.terms[at]
+            dots = (1 + np.log(self.counts[at])) * self.weight[terms] * values[terms]
+            cosines = np.round(np.bincount(np.repeat(np.arange(len(i)), self.size[i]), dots, len(i)) / self.norm[i], 12)
+            values[t] = 0
+            best = np.lexsort((i, -cosines))[:k]
+            out.append(list(zip(cosines[best].tolist(), i[best].tolist(), strict=True)))
+        return out
 
 
 class ToxicityModel:
@@ -99,81 +140,60 @@ class ToxicityModel:
         if not self.usable:
             return
         class_weight = [totals[y] / sampled[y] for y in (0, 1)]
-        # terms are chosen on one half of each label and votes come from the other, so that a term which is
-        # toxic by chance has its other documents among the neighbours
-        half, seen = [], [0, 0]
-        for _, _, y in examples:
-            half.append(seen[y] % 2)
-            seen[y] += 1
-        df = [Counter(), Counter()]
-        n_half = [sum(e[2] == y and h == 0 for e, h in zip(examples, half, strict=True)) for y in (0, 1)]
-        least = max(MIN_EXAMPLES, MIN_SHARE * n_half[1])
-
-        def terms(text: str) -> set[str]:
-            return {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
-
-        # toxic examples first: of the others only terms that can still be chosen are counted
-        for (_, text, y), h in zip(examples, half, strict=True):
-            if h == 0 and y:
-                df[1].update(terms(text))
-        df[1] = Counter({t: a for t, a in df[1].items() if a >= least})
-        for (_, text, y), h in zip(examples, half, strict=True):
-            if h == 0 and not y:
-                df[0].update(t for t in terms(text) if t in df[1])
-        odds = {}
-        for t, a in df[1].items():
-            odds[t] = math.log((a + 0.5) / (n_half[1] + 1)) - math.log((df[0][t] + 0.5) / (n_half[0] + 1))
-        kept = sorted((t for t, x in odds.items() if x >= MIN_LOG_ODDS), key=lambda t: (-df[1][t] * odds[t], t))[:VOCABULARY]
-        self.vocab = {t: i for i, t in enumerate(kept)}
-        n = sum(n_half)
-        self.idf = np.array([math.log((n + 1) / (df[0][t] + df[1][t] + 1)) + 1 for t in kept])
-        self.ids, self.labels = [], []
-        empty = [0.0, 0.0]
-        held = []
-        for (i, text, y), h in zip(examples, half, strict=True):
-            if h == 0:
-                continue
-            if v := self.vector(Counter(WORD.findall(text.lower()))):
+        self.vocab: dict[str, int] = {}
+        self.ids, self.labels, held, empty = [], [], [], [0.0, 0.0]
+        for i, text, y in examples:
+            tf: Counter = Counter()
+            for w, c in Counter(WORD.findall(text.lower())).items():
+                for t in terms_of(w):
+                    tf[self.vocab.setdefault(t, len(self.vocab))] += c
+            if tf:
                 self.ids.append(i)
                 self.labels.append(y)
-                held.append(v)
+                held.append(self._arrays(tf))
             else:
                 empty[y] += class_weight[y]
-        self.prior = empty[1] / sum(empty) if sum(empty) else 0.0
+        self.empty = empty[1] / sum(empty) if sum(empty) else 0.0
+        self.prior = totals[1] / sum(totals)
         self.weight = np.array([class_weight[y] for y in self.labels])
         self.y = np.array(self.labels, dtype=float)
-        self.index = BlockMaxIndex(held, len(kept))
+        df = [sum((np.bincount(t, minlength=len(self.vocab)) for (t, _), of in zip(held, self.labels, strict=True) if of == y), np.zeros(len(self.vocab))) for y in (0, 1)]
+        odds = np.log((df[1] + 0.5) / (sampled[1] + 1)) - np.log((df[0] + 0.5) / (sampled[0] + 1))
+        sure = odds - np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
+        factor = np.maximum(FLOOR, np.clip(sure / LOG_ODDS, 0, 1) ** 2)
+        self.index = ExampleIndex(held, factor * (np.log((len(examples) + 1) / (df[0] + df[1] + 1)) + 1))
         self.slope, self.shift = 1.0, 0.0
         self._calibrate(held)
 
-    def vector(self, words: Counter) -> dict[int, float]:
-        """Unit TF-IDF vector of the vocabulary terms of a text."""
-        tf: Counter = Counter()
-        for w, n in words.items():
-            for t in terms_of(w):
-                if (i := self.vocab.get(t)) is not None:
-                    tf[i] += n
-        return self._unit(tf)
+    @staticmethod
+    def _arrays(tf: Counter) -> tuple[np.ndarray, np.ndarray]:
+        terms, counts = np.array(list(tf), dtype=np.int32), np.array(list(tf.values()), dtype=np.int32)
+        order = np.argsort(terms)
+        return terms[order], counts[order]
 
-    def _unit(self, tf: Counter) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * self.idf[i] for i, n in sorted(tf.items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {i: float(x / norm) for i, x in v.items()} if norm else {}
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(counts)) * self.index.weight[terms]
+        return terms, x / np.sqrt((x * x).sum())
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic neighbours weighted by squared cosine, drawn to the prior where all are far."""
+        """Share of toxic neighbours weighted by cosine, sharply below the nearest, drawn to the prior where all are far."""
         if not near:
             return self.prior
         at = np.array([i for _, i in near])
-        w = np.array([c * c for c, _ in near]) * self.weight[at]
+        c = np.array([c for c, _ in near])
+        w = c * c * (c / c[0]) ** SHARPNESS * self.weight[at]
         smooth = SMOOTHING * float(self.weight[at].mean())
         return float(((w * self.y[at]).sum() + smooth * self.prior) / (w.sum() + smooth))
 
-    def _calibrate(self, held: list[dict[int, float]]) -> None:
+    def _calibrate(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Logistic fit of labels on leave-one-out votes, by Newton steps with a small ridge."""
         if not held:
             return
-        x = np.array([self._logit(self.vote(self.index.search(v, NEIGHBOURS, i))) for i, v in enumerate(held)])
+        near = []
+        for i in range(0, len(held), TEXTS):
+            some = held[i : i + TEXTS]
+            near += self.index.search([self._unit(*v) for v in some], NEIGHBOURS, list(range(i, i + len(some))))
+        x = np.array([self._logit(self.vote(n)) for n in near])
         a = np.stack([x, np.ones_like(x)], axis=1)
         theta, w, ridge = np.array([1.0, 0.0]), self.weight / self.weight.mean(), 0.05 * len(held)
         for _ in range(30):
@@ -192,24 +212,33 @@ class ToxicityModel:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return math.log(p / (1 - p))
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated score and the neighbours (id, cosine, label) behind it."""
-        if not self.usable:
-            return 0.0, []
+    def _terms(self, text: str) -> Counter:
         cache, tf = self.words, Counter()
-        words = WORD.findall(text.lower())
+        words = Counter(WORD.findall(text.lower()))
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = tuple(i for t in terms_of(w) if (i := self.vocab.get(t)) is not None)
-        hits = [f for f in map(cache.__getitem__, words) if f]
-        if not hits:
-            return self.prior, []
-        for f in hits:
-            tf.update(f)
-        near = self.index.search(self._unit(tf), NEIGHBOURS)
-        z = self.slope * self._logit(self.vote(near)) + self.shift
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(self.ids[i], c, self.labels[i]) for c, i in near]
+        for w, n in words.items():
+            if (known := cache.get(w)) is None:
+                known = cache[w] = tuple(i for t in terms_of(w) if (i := self.vocab.get(t)) is not None)
+            for i in known:
+                tf[i] += n
+        return tf
+
+    def scores(self, rows: list[str]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """Of each text the calibrated score and the neighbours (id, cosine, label) behind it."""
+        if not self.usable:
+            yield from ((0.0, []) for _ in rows)
+            return
+        for a in range(0, len(rows), TEXTS):
+            found = [self._terms(t) for t in rows[a : a + TEXTS]]
+            nearest = iter(self.index.search([self._unit(*self._arrays(tf)) for tf in found if tf], NEIGHBOURS))
+            for tf in found:
+                if not tf:
+                    yield self.empty, []
+                    continue
+                near = next(nearest)
+                z = self.slope * self._logit(self.vote(near)) + self.shift
+                yield 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(self.ids[i], c, self.labels[i]) for c, i in near]
 
 
 def remainder(id_: Column) -> Column:
@@ -249,7 +278,7 @@ def toxicity(
         m = shared.value
         for whole in batches:
             for batch in slices(whole, 1):
-                got = [m.score(t) for t in texts(batch.column(1))]
+                got = list(m.scores(texts(batch.column(1))))
                 why = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in near] for _, near in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(why, evidence)], names=["id", "score", "evidence"])
 
@@ -269,7 +298,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
         m = shared.value
         for whole in batches:
             for batch in slices(whole, at):
-                yield batch.filter(pa.array([m.score(t)[0] < threshold for t in texts(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([s < threshold for s, _ in m.scores(texts(batch.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -92,6 +92,33 @@ def test_toxicity_awkward(spark):
     assert T.without_toxic(awkward(spark), T.fit(awkward(spark), labels.limit(0))).count() == len(ROWS)
 
 
+def test_copies_of_toxic_texts_with_rare_words(spark):
+    """Each of these texts shares no word with any other example; all of them are examples, and so their copies are found."""
+    docs, labels, _ = labelled(spark)
+    rare = [(i, " ".join(f"{i * 30 + j:x}z" for j in range(30)), "en", "s", 1) for i in range(1000, 1040)]
+    copies = [(r[0] + 1000, *r[1:]) for r in rare]
+    docs = docs.union(spark.createDataFrame(rare + copies, DOC))
+    labels = labels.union(spark.createDataFrame([(r[0], 1, 1) for r in rare], "doc_id long, quality int, toxic int"))
+    used = {r.doc_id for r in docs.filter(T.remainder(docs.doc_id) != 2).collect()}
+    got = {r.doc_id: r.predicted for r in T.op9_toxicity(docs, labels).collect()}
+    wanted = [r[0] + 1000 for r in rare if r[0] in used]
+    assert len(wanted) > 15 and all(got[i] for i in wanted)
+
+
+def test_nearest_examples_against_brute_force():
+    rng = random.Random(12)
+    examples = [(i, words(rng, "abcd", rng.randrange(1, 30)), int(rng.random() < 0.3)) for i in range(300)]
+    model = T.ToxicityModel(examples, (700, 90))
+    unit = lambda text: dict(zip(*(x.tolist() for x in model._unit(*model._arrays(model._terms(text)))), strict=True))
+    vectors = [(i, unit(t), y) for i, t, y in examples]
+    asked = [words(rng, "abcde", 12) for _ in range(80)] + [t for _, t, _ in examples[:20]]
+    for text, (_, near) in zip(asked, model.scores(asked), strict=True):
+        q = unit(text)
+        cosines = [(-sum(x * v.get(t, 0) for t, x in q.items()), i, y) for i, v, y in vectors]
+        want = sorted(c for c in cosines if c[0] < 0)[: T.NEIGHBOURS]
+        assert np.allclose([c for _, c, _ in near], [-c for c, _, _ in want], atol=1e-8)
+
+
 def totals(rows):
     p = np.array([r.posterior for r in rows if r.posterior])
     return (np.array([r.rate * r.tokens for r in rows if r.posterior])[:, None] * p).sum(axis=0)
