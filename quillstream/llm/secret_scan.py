@@ -4,7 +4,7 @@ Base spans are three fixed patterns.  The lexer reads source and configuration s
 ``"name": "literal"``, ``export NAME=literal``, ``name => literal``, XML-like attributes), resolves names to the
 literals last assigned to them, joins ``"a" + "b"``, and scores each literal by how sensitive the target name
 is, its length, its mix of characters and its entropy.  Literals over the threshold that no base span covers
-are added as spans of kind ``literal``.
+wholly are added as spans of kind ``literal``.
 
 All scanning is on the UTF-8 bytes of a whole text; offsets are then counted in code points.  A text without a
 keyword, an assignment operator or a long hex run costs a few substring searches.
@@ -42,14 +42,16 @@ SENSITIVE = {
 }
 #: Literals scoring this much or more are reported.
 THRESHOLD = 0.6
+NAME = rb"[A-Za-z_][\w.\-]*+"
+TYPED = rb"""(?:[ \t]*+=[ \t]*+(?=["'])|[ \t]++=[ \t]++(?=[^\s=>]))"""
 LEX = re.compile(
-    rb"""(?<![\w.\-])(?:"(?P<qname>[A-Za-z_][\w.\-]{0,63})"|'(?P<sname>[A-Za-z_][\w.\-]{0,63})'|(?P<name>[A-Za-z_][\w.\-]{0,63}))"""
-    rb"""[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*"""
-    rb"""(?:"(?P<dq>[^"\n\\]{0,512})"|'(?P<sq>[^'\n\\]{0,512})'|(?P<bare>[^\s"',;(){}\[\]<>]{1,512}))"""
-    rb"""(?P<more>(?:[ \t]*\+[ \t]*(?:"[^"\n\\]{0,512}"|'[^'\n\\]{0,512}')){0,16})""",
+    rb"""(?<![\w.\-])(?:"(?P<qname>%b)"|'(?P<sname>%b)'|(?P<name>%b))""" % (NAME, NAME, NAME)
+    # a declared type after a colon, or a second word before the sign: either may be the name
+    + rb"""(?:(?:[ \t]*+:[ \t]*+|[ \t]++)(?P<also>[A-Za-z_&*\[][\w.\-&*\[\]<>|?]*+)%b|[ \t]*+(?::=|=>|[:=](?![=:]))[ \t]*+)""" % TYPED,
     re.ASCII,
 )
-_PART = re.compile(rb"\"([^\"\n\\]*)\"|'([^'\n\\]*)'")
+LITERAL = re.compile(rb""""(?P<dq>(?:[^"\n\\]|\\[^\n])*+)"|'(?P<sq>(?:[^'\n\\]|\\[^\n])*+)'|(?P<bare>[^\s"',;(){}\[\]<>]++)""", re.ASCII)
+PLUS = re.compile(rb"[ \t]*+\+[ \t]*+(?=[\"'])")
 _HEXMAP = np.zeros(256, dtype=bool)
 _HEXMAP[list(b"0123456789abcdef")] = True
 
@@ -98,17 +100,25 @@ def lexed_spans(data: bytes) -> list[Span]:
     """Spans of the literals whose target, or a name they flow to, is sensitive."""
     constants: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
     out = []
-    for m in LEX.finditer(data):
-        name = m["qname"] or m["sname"] or m["name"]
-        group = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        value, spans = m[group], [m.span(group)]
+    end = 0
+    while m := LEX.search(data, end):
+        names = [n for n in (m["qname"] or m["sname"] or m["name"], m["also"]) if n]
+        if not (part := LITERAL.match(data, m.end())):
+            end = m.end()
+            continue
+        end = part.end()
+        group = part.lastgroup
+        value, spans = part[group], [part.span(group)]
         if group == "bare" and value in constants:
             value, spans = constants[value]
-        if m["more"]:
-            parts = [(p.span(1) if p[1] is not None else p.span(2)) for p in _PART.finditer(data, *m.span("more"))]
-            value, spans = value + b"".join(data[a:b] for a, b in parts), [*spans, *parts]
-        constants[name] = (value, spans)
-        if (w := sensitivity(name.decode())) and literal_score(w, value) >= THRESHOLD:
+        parts, more = [value], []
+        while (plus := PLUS.match(data, end)) and (part := LITERAL.match(data, plus.end())):
+            end = part.end()
+            parts.append(part[part.lastgroup])
+            more.append(part.span(part.lastgroup))
+        value, spans = b"".join(parts), spans + more
+        constants.update((n, (value, spans)) for n in names)
+        if (w := max(sensitivity(n.decode()) for n in names)) and literal_score(w, value) >= THRESHOLD:
             out += [Span(a, 3, b) for a, b in spans if b > a]
     return out
 
@@ -120,7 +130,7 @@ def scan(data: bytes) -> list[Span]:
     if b"=" in data or b":" in data:
         covered = sorted((s.start, s.end) for s in base)
         for s in dict.fromkeys(lexed_spans(data)):
-            if not any(a < s.end and s.start < b for a, b in covered):
+            if not any(a <= s.start and s.end <= b for a, b in covered):
                 extra.append(s)
     spans = base + extra
     if spans and not data.isascii():

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,6 +91,42 @@ def test_secret_scan_rows(spark):
     assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
 
 
+LONG_SECRET = "Xk29fLq81mZp" * 60
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"private_key = {LONG_SECRET}", [LONG_SECRET]),
+        (f'private_key = "{LONG_SECRET}"', [LONG_SECRET]),
+        (f'{"a" * 80}_private_key = "Xk29fLq81mZp"', ["Xk29fLq81mZp"]),
+        ('bearer = "Xk29\\"fLq81mZp"', ['Xk29\\"fLq81mZp']),
+        ("bearer = " + " + ".join(f'"Xk{i:02d}"' for i in range(20)), [f"Xk{i:02d}" for i in range(20)]),
+        ('private_key: str = "Xk29fLq81mZp"', ["Xk29fLq81mZp"]),
+        ('var authCredential string = "Xk29fLq81mZp"', ["Xk29fLq81mZp"]),
+        ('export SIGNING_PWD="Xk29fLq81mZp"', ["Xk29fLq81mZp"]),
+        ('String bearerAuth = "Xk29fLq81mZp"', ["Xk29fLq81mZp"]),
+        ("private_key: Xk29fLq81mZp=", ["Xk29fLq81mZp="]),
+        ('x = "abc"; private_key: Xk29fLq81mZp', ["Xk29fLq81mZp"]),
+    ],
+)
+def test_lexer_without_caps(text, found):
+    data = text.encode()
+    assert [data[s.start : s.end].decode() for s in sorted(S.lexed_spans(data))] == found
+
+
+def test_partly_covered_literals_stay():
+    spans = S.scan(b'private_key = "Zq!0123456789abcdef-Zq"')
+    assert [(s.kind, s.start, s.end) for s in spans] == [(3, 15, 37), (2, 18, 34)]
+
+
+def test_lexer_is_linear():
+    start = time.process_time()
+    for part in (b"a", b"a = ", b'"', b"\\", b"a: b ", b'a = "b" + ', b"a.b-", b"a b ", b"a[", b"a "):
+        S.lexed_spans(part * (200_000 // len(part)))
+    assert time.process_time() - start < 6
+
+
 def brute_winnow(t, k, w):
     """Positions of each window's minimum, rightmost of ties, by the same hash."""
     if not t:
