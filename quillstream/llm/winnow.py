@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import ship, slices, texts
 
-K, W = 16, 64
+K, W = 12, 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)

@@ -159,6 +159,13 @@ def test_shared_runs_share_a_hash():
         assert len(np.intersect1d(W.hashes(W.winnow(a + run + b)), W.hashes(W.winnow(b + run))))
 
 
+def test_short_texts_that_keep_half_are_alike():
+    rng = random.Random(9)
+    for n in range(54, 158):
+        a, b = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for _ in range(2))
+        assert W.likeness(W.hashes(W.winnow(a)), W.hashes(W.winnow(W.edited(a, b)))) > 0, n
+
+
 def test_fingerprints_in_order_of_ids(spark):
     rows = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
     got = W.fingerprints(awkward(spark), ranges=5).collect()
