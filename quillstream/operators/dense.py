@@ -46,25 +46,33 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def dense_lsh(questions: DataFrame, vectors: DataFrame, k: int, bits: int = 6, tables: int = 24) -> DataFrame:
-    """Approximate (qid, chunk_id, score, rank): candidates share a sign pattern of random hyperplanes in some table."""
+    """Approximate (qid, chunk_id, score, rank): candidates share a sign pattern of random hyperplanes in some table.
+
+    A question also probes, in each table, the pattern with the sign of its nearest hyperplane changed.
+    """
     import random
 
     dim = len(vectors.select("embedding").first().embedding)
     rng = random.Random(11)
     planes = [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
 
-    def keys(col: str) -> Column:
-        out = []
-        for t, table in enumerate(planes):
+    def keys(col: str, probe: bool) -> Column:
+        sides = F.array(*[F.array(*[dot(F.col(col), F.array(*map(F.lit, plane))) for plane in table]) for table in planes])
+
+        def patterns(side: Column, t: Column) -> Column:
             code = F.lit(0)
-            for i, plane in enumerate(table):
-                code = code + F.when(dot(F.col(col), F.array(*map(F.lit, plane))) > 0, 1 << i).otherwise(0)
-            out.append(F.struct(F.lit(t).alias("t"), code.alias("code")))
-        return F.explode(F.array(*out))
+            for i in range(bits):
+                code = code + F.when(side[i] > 0, 1 << i).otherwise(0)
+            near = F.transform(side, F.abs)
+            bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(bits)]), F.array_position(near, F.array_min(near)).cast("int"))
+            codes = [code, code.bitwiseXOR(bit)] if probe else [code]
+            return F.array(*[F.struct(t.alias("t"), c.alias("code")) for c in codes])
+
+        return F.explode(F.flatten(F.transform(sides, patterns)))
 
     v = with_norm(vectors.select("chunk_id", "embedding"))
     q = with_norm(questions.select("qid", "embedding")).withColumnRenamed("embedding", "qv").withColumnRenamed("norm", "qn")
-    found = q.select("qid", keys("qv").alias("key")).join(v.select("chunk_id", keys("embedding").alias("key")), "key").select("qid", "chunk_id").distinct()
+    found = q.select("qid", keys("qv", True).alias("key")).join(v.select("chunk_id", keys("embedding", False).alias("key")), "key").select("qid", "chunk_id").distinct()
     cosine = F.try_divide(dot(F.col("qv"), F.col("embedding")), F.col("qn") * F.col("norm"))
     scored = found.join(v, "chunk_id").join(q, "qid").select("qid", "chunk_id", F.round((1 + cosine) / 2, 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(order()).cast("long")).filter(F.col("rank") <= k)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillstream.config import AnswerConfig, HybridConfig, RetrievalConfig
 from quillstream.operators import channels, dense, siblings, sparse
+from quillstream.sources import corpus
 
 HIT = "qid long, chunk_id string, score double, rank long"
 
@@ -112,3 +113,12 @@ def test_config_validation():
         AnswerConfig(max_candidates=0)
     with pytest.raises(ValueError):
         RetrievalConfig(max_siblings=-1)
+
+
+def test_lsh_recall(spark):
+    """Recall at 10 of the registered parameters against the exact hits."""
+    d = "/root/testdata/sf0.1"
+    v, q = corpus.vectors(spark, d), corpus.questions(spark, d).filter("embedding is not null")
+    exact = {(r.qid, r.chunk_id) for r in dense.dense_topk(q, v, 10).collect()}
+    found = {(r.qid, r.chunk_id) for r in dense.dense_lsh(q, v, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact), len(exact & found) / len(exact)
