@@ -51,6 +51,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of ids that may be broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame, tag: str) -> DataFrame | None:
+    """``df``, of narrow rows, written to the shared folder, or None where it has more rows than may be broadcast."""
+    kept = materialize(df, tag)
+    return kept if kept.count() <= FEW else None
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from fixtures import ROWS, awkward, empty
 
+from quillstream.llm import common
 from quillstream.llm import jaccard_join as J
 from quillstream.llm.components import components
 from quillstream.llm.shingles import shingle_sets
@@ -47,20 +49,70 @@ def family(rng, n):
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 4)  # several blocks a key
+def test_against_brute_force(spark):
     rng = random.Random(5)
     texts = [t for _ in range(6) for t in family(rng, 9)] + ["a b c", "A  b\tC", "a b", "", "common passage " * 20]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for k, pct in ((4, 85), (5, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_jaccard_join(df, k, pct).collect()}
+    for k, pct, block in ((4, 85, 4), (5, 80, 2048), (5, 80, 3), (3, 30, 5)):  # few a block: several parts a group
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_jaccard_join(df, k, pct, block=block).collect()}
         want = brute(rows, k, pct)
         assert got == {i: (len(shingles(t, k)), want[i]) for i, t in rows}
         assert len(set(want.values())) < len(rows)
 
 
+def test_rows_that_repeat_an_id_are_one_node(spark, monkeypatch):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (60, 80, 40))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c + " more"), (5, ""), (6, a.upper()), (0, "x"), (7, c), (7, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (500_000, 0):  # ids broadcast, and joined
+        monkeypatch.setattr(common, "FEW", few)
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in J.ngram_jaccard_join(df, 4, 85).collect()}
+        want = brute(rows, 4, 85)
+        assert got == {(i, len(shingles(t, 4))): want[i] for i, t in rows}
+        assert {got[i, 57] for i in (1, 2, 6)} | {got[i, 77] for i in (2, 3)} == {1}
+
+
+def test_two_near_families_give_as_many_links_as_sets(spark):
+    """Families that pass no exact test with each other, and sets at the threshold: links stay fewer than sets."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for f in range(2):
+        own = base[: 80 + 2 * f] + [f"f{f}_{i}" for i in range(20)]
+        for _ in range(60):
+            w = list(own)
+            for _ in range(3):
+                w[rng.randrange(100)] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 7):
+        got = {r.doc_id: r.component_id for r in J.ngram_jaccard_join(df, 4, 85, block=block).collect()}
+        assert got == brute(rows, 4, 85)
+
+
+def test_keys_that_meet_over_batches():
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(k), int(i)) for k, i in zip(rng.integers(0, 60, 900), rng.integers(0, 300, 900), strict=True)} | {(7, i) for i in range(200)})
+    rows = [r for r in rows for _ in range(1 + (r[1] % 3 == 0))]  # repeated rows are next to each other
+    for size in (1, 3, 50, 5000):
+        cut = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[a : a + size]], pa.int64()) for c in (0, 1)], names=["key", "id"]) for a in range(0, len(rows), size)]
+        got, single = {}, set()
+        for batch in J._gather(20)(iter(cut)):
+            for r in batch.to_pylist():
+                assert r["big"] or r["key"] not in single
+                single.add(r["key"])
+                got.setdefault((r["key"], r["big"]), set()).update(r["ids"])
+        want = {}
+        for k, i in rows:
+            want.setdefault(k, set()).add(i)
+        seen = {frozenset(v) for v in want.values() if len(v) > 1}
+        assert {frozenset(v) for v in got.values()} == seen
+        assert all(big == (len(v) > 20) for (_, big), v in got.items())
+
+
 def test_awkward_rows(spark):
     got = J.op1_jaccard_join(awkward(spark)).collect()
     want = brute([(i, t) for i, t, *_ in ROWS if i is not None], 4, 85)
