@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> np.ndarray:
+def power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         size = 1 << max(8, (n - 1).bit_length())
@@ -44,7 +44,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
     value = _VALUE[data[starts[0] :]]
-    h = np.add.reduceat(value * _power_table(int(sizes.max()))[place], starts - starts[0])
+    h = np.add.reduceat(value * power_table(int(sizes.max()))[place], starts - starts[0])
     upto = np.searchsorted(starts, ends)
     return mix(h), np.diff(np.concatenate(([0], upto)))
 

@@ -1,4 +1,7 @@
+import pickle
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from fixtures import ROWS, awkward, empty
@@ -42,16 +45,28 @@ def test_language_awkward(spark):
     assert [r.lang_pred for r in L.op8_language_id(no_labels).collect()] == ["und"]
 
 
-def test_index_is_exact():
+def test_index_is_exact(monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 16)
     rng = np.random.default_rng(3)
-    dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    index = T.BlockMaxIndex([{int(t): float(v[t]) for t in np.nonzero(v)[0]} for v in dense], 40, block=16)
-    for q in dense[:60]:
-        scores = np.round(dense @ q, 12)
-        want = sorted(((s, i) for i, s in enumerate(scores) if s > 0), key=lambda e: (-e[0], e[1]))[:7]
-        got = index.search({int(t): float(q[t]) for t in np.nonzero(q)[0]}, 7)
-        assert [round(s, 9) for s, _ in got] == [round(float(s), 9) for s, _ in want]
+    counts = rng.integers(1, 9, (300, 200)) * (rng.random((300, 200)) < 0.1)
+    counts[200:, :100] = 0  # examples of two kinds
+    counts[:, 0] = counts[:, 0].clip(1)
+    counts[50] = counts[20]  # a tie
+    weight = rng.random(200) + 0.1
+    dense = np.where(counts > 0, 1 + np.log(counts.clip(1)), 0) * weight
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = [(np.nonzero(c)[0].astype(np.int32), c[c > 0].astype(np.int32)) for c in counts]
+    index = T.ExampleIndex(rows, weight)
+    index = pickle.loads(pickle.dumps(index))
+    for skip in (None, np.argsort(index.order).tolist()):
+        got = index.search([(t, dense[i, t]) for i, (t, _) in enumerate(rows)], 7, skip)
+        for i, (cosines, near) in enumerate(got):
+            scores = np.round(dense @ dense[i], 12)
+            if skip:
+                scores[i] = 0
+            want = sorted(((s, j) for j, s in enumerate(scores) if s > 0), key=lambda e: (-e[0], e[1]))[:7]
+            assert np.allclose(cosines, [s for s, _ in want], atol=1e-11)
+            assert near.tolist() == [j for _, j in want]
 
 
 def labelled(spark, n=600):
@@ -105,18 +120,47 @@ def test_copies_of_toxic_texts_with_rare_words(spark):
     assert len(wanted) > 15 and all(got[i] for i in wanted)
 
 
-def test_nearest_examples_against_brute_force():
+def test_terms_are_words_and_their_prefixes():
+    rows = ["Abcdefg abcd, x_y ÀÉ 12", "", "ab" * 400 + " abcdefh", "ÉTÉ été\n中文 İz", "abcd abcd abcd*"]
+    owner, h = T.term_hashes(rows)
+    name = {}
+    for i, text in enumerate(rows):
+        want = Counter()
+        for w in re.findall(r"[^\W_]+", text):
+            w = "".join(c.lower()[0] for c in w)
+            want.update([w, *(f"{w[:n]}*" for n in T.PREFIXES if len(w) >= n)])
+        got = Counter(h[owner == i].tolist())
+        assert sorted(got.values()) == sorted(want.values())
+        single = T.features(text)
+        assert dict(zip(single[0].tolist(), single[1].tolist(), strict=True)) == got
+        for w in set(want):
+            alone = T.term_hashes([w.rstrip("*")])[1]
+            mine = alone[[1 + [n for n in T.PREFIXES if n <= len(w) - 1].index(len(w) - 1)]] if w.endswith("*") else alone[:1]
+            assert got[int(mine[0])] == want[w] and name.setdefault(int(mine[0]), w) == w
+
+
+def test_nearest_examples_against_brute_force(monkeypatch):
     rng = random.Random(12)
-    examples = [(i, words(rng, "abcd", rng.randrange(1, 30)), int(rng.random() < 0.3)) for i in range(300)]
-    model = T.ToxicityModel(examples, (700, 90))
-    unit = lambda text: dict(zip(*(x.tolist() for x in model._unit(*model._arrays(model._terms(text)))), strict=True))
-    vectors = [(i, unit(t), y) for i, t, y in examples]
-    asked = [words(rng, "abcde", 12) for _ in range(80)] + [t for _, t, _ in examples[:20]]
-    for text, (_, near) in zip(asked, model.scores(asked), strict=True):
-        q = unit(text)
-        cosines = [(-sum(x * v.get(t, 0) for t, x in q.items()), i, y) for i, v, y in vectors]
-        want = sorted(c for c in cosines if c[0] < 0)[: T.NEIGHBOURS]
-        assert np.allclose([c for _, c, _ in near], [-c for c, _, _ in want], atol=1e-8)
+    examples = [(i, words(rng, "abcd" if i % 3 else "wxyz", rng.randrange(1, 30)), int(rng.random() < 0.3)) for i in range(300)]
+    for block in (64, 8):  # with 8, most blocks are left out by their bounds
+        monkeypatch.setattr(T, "BLOCK", block)
+        model = T.ToxicityModel([(i, y, *T.features(t)) for i, t, y in examples], (700, 90))
+        unit = lambda text: dict(zip(*(x.tolist() for x in model._unit(*model.vectors([text])[0])), strict=True))
+        vectors = [unit(t) for _, t, _ in examples]
+        asked = [words(rng, "abcde", 12) for _ in range(80)] + [t for _, t, _ in examples[:20]]
+        for text, (_, cosines, near) in zip(asked, model.scores(asked), strict=True):
+            q = unit(text)
+            exact = [sum(x * v.get(t, 0) for t, x in q.items()) for v in vectors]
+            want = sorted((-c for c in exact if c > 0))[: T.NEIGHBOURS]
+            assert np.allclose(cosines, [-c for c in want], atol=1e-8)
+            assert np.allclose([exact[int(model.ids[i])] for i in near], cosines, atol=1e-8)
+        plain = [sorted(((-sum(x * w.get(t, 0) for t, x in v.items()), j) for j, w in enumerate(vectors) if j != i))[: T.NEIGHBOURS] for i, v in enumerate(vectors[:40])]
+        for vote, near in zip(model.left_out_votes(list(range(40))), plain, strict=True):
+            near = [(-c, j) for c, j in near if c < 0]
+            w = np.array([c * c * (c / near[0][0]) ** T.SHARPNESS * model.weight[j] for c, j in near])
+            smooth = T.SMOOTHING * np.mean([model.weight[j] for _, j in near])
+            share = (sum(x * examples[j][2] for x, (_, j) in zip(w, near, strict=True)) + smooth * model.prior) / (w.sum() + smooth)
+            assert abs(vote - share) < 0.02  # cosines that tie may be others
 
 
 def totals(rows):
