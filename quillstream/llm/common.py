@@ -14,6 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -55,10 +56,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 FEW = 500_000
 
 
-def few(df: DataFrame, tag: str) -> DataFrame | None:
-    """``df``, of narrow rows, written to the shared folder, or None where it has more rows than may be broadcast."""
-    kept = materialize(df, tag)
-    return kept if kept.count() <= FEW else None
+def few(table: DataFrame) -> DataFrame | None:
+    """A written table of narrow rows, or None where it has more rows than may be broadcast."""
+    return table if table.count() <= FEW else None
+
+
+#: Keys that may be broadcast because so many rows have them.
+MANY = 100_000
+
+
+def met(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join with a written table of distinct keys, of which ``n`` says how many of the rows have them.
+
+    A small table is broadcast.  Of a larger one the keys are that have a share of 1 / MANY of all rows, and so are
+    MANY at most; the rows of the others are shuffled, none of which gathers more than that share.
+    """
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), on)
+    total = table.agg(F.sum(n)).first()[0]
+    hot, cold = table.filter(F.col(n) * MANY >= total), table.filter(F.col(n) * MANY < total)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -415,7 +415,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: s
     stands = sets.select(F.col("set_id").alias("id")).distinct()
 
     # copies of sets that a smaller id stands for are not filed
-    copies = few(known.select("id").distinct().join(stands, "id", "left_anti"), "copies")
+    copies = few(materialize(known.select("id").distinct().join(stands, "id", "left_anti"), "copies"))
     firsts = rows.filter("id is not null")
     firsts = firsts.join(F.broadcast(copies), "id", "left_anti") if copies is not None else firsts
     filed = firsts.mapInArrow(_prefixes(words, pct, hot), "id long, n long, keys array<long>, bits binary").filter("n > 0")
@@ -429,7 +429,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: s
     clusters = components(near).select(F.col("component").alias("gid"), F.col("node").alias("id")).join(size, "id")
 
     def with_text(r: DataFrame) -> DataFrame:
-        small = few(r, "tried")
+        small = few(materialize(r, "tried"))
         return firsts.join(F.broadcast(small) if small is not None else r, "id").withColumn("n", F.lit(0)).withColumnRenamed("text", "data")
 
     links = spanning_pairs(clusters, with_text, pct, "links", k=words, block=block)

@@ -1,9 +1,11 @@
 """Line dedup: lines that several documents hold stay only in the last of them.
 
-DataFrame functions only.  Lines are exploded once, as 128-bit hashes of their normalised form, into a narrow
-table; documents per hash are counted with map-side partial aggregation, so a line that a third of all
-documents hold arrives as one partial row per task; only hashes over the threshold join back, and the text
-itself is shuffled once, when each document meets its own drop list.
+DataFrame functions only.  Lines are exploded once with their positions, as 128-bit hashes of their normalised
+form, into a narrow table; documents per hash are counted with map-side partial aggregation, so a line that a
+third of all documents hold arrives as one partial row per task.  Only hashes over the threshold join back: the
+most common of them are broadcast, as many as their share of all rows allows, so no task gathers the rows of one
+line.  The positions to drop are gathered by text, and the text itself is shuffled once, when each document meets
+its positions.  What lies between them is put together again in order of position: time is linear in the lines.
 
 Defined results: a null or empty text is one empty line; repeated rows of one doc_id count as one document and
 lose the same lines; a null doc_id is never the keeper of a line and counts in no total; empty tables give
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialize
+from quillstream.llm.common import materialize, met
 
 #: Characters stripped at both ends of a line's key.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -31,14 +33,8 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(STRIPPED))
 
 
-def key_hash(key: Column) -> Column:
-    """Two differently seeded 64-bit hashes of a normalised line."""
-    low = ascii_lower(key)
-    return F.struct(F.xxhash64(low).alias("h1"), F.xxhash64(F.lit("line"), low).alias("h2"))
-
-
 def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.split(text, "\n", -1)
 
 
 def line_dedup(
@@ -50,42 +46,36 @@ def line_dedup(
     everywhere but in the largest id that holds it.
     """
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
-    keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
-    held = materialize(
-        rows.select("id", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("k")).select("id", "k.*"),
-        "lines",
-    )
+    # rows of one id are told apart by their text
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried")).withColumn("t", F.xxhash64("text"))
+    keys = rows.select("id", "t", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).select("id", "t", "pos", line_key(F.col("line")).alias("key"))
+    low = ascii_lower(F.col("key"))
+    held = keys.filter(F.length("key") >= min_chars).select("id", "t", "pos", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit("line"), low).alias("h2"))
+    held = materialize(held, "lines")
     common = (
         held.groupBy("h1", "h2")
-        .agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper"))
+        .agg(F.count_distinct("id").alias("n_docs"), F.count("*").alias("n"), F.max("id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "n", "keeper")
     )
     drops = (
-        held.join(common, ["h1", "h2"])
+        met(held, materialize(common, "common"), ["h1", "h2"], "n")
         .filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
-        .groupBy("id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-        .withColumnRenamed("id", "drop_id")
+        .groupBy("id", "t")
+        .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+        .select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone")
     )
-    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("drop_id")), "left")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("drops"), key_hash(key))
-
-    lines = lines_of(F.col("text"))
-    return joined.select(
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left")
+    # exploding an array of one array makes the lines a column, which isn't computed again for each piece
+    split = joined.select("id", "carried", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.explode(F.array(lines_of(F.col("text")))).alias("lines"))
+    first = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    end = F.concat(F.col("gone"), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(first, end, lambda a, b: F.slice(F.col("lines"), a + 1, b - a)))
+    return split.select(
         F.col("id").alias(id_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays)).alias("kept"),
-        "carried",
-    ).select(
-        id_col,
-        F.array_join("kept", "\n").alias("text"),
-        "n_lines",
-        (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
+        F.array_join(F.when(F.size("gone") > 0, kept).otherwise(F.col("lines")), "\n").alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"),
         *[F.col(f"carried.{c}") for c in carry],
     )
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from fixtures import ROWS, awkward, empty
 
+from quillstream.llm import common
 from quillstream.llm import line_dedup as L
 from quillstream.llm import secret_scan as S
 from quillstream.llm import winnow as W
@@ -39,6 +40,34 @@ def test_line_dedup_against_brute_force(spark):
     assert any(g[2] for g in got)
 
 
+def test_line_dedup_where_few_keys_may_be_broadcast(spark, monkeypatch):
+    """The most common lines are broadcast, the others joined; rows that repeat an id have other texts."""
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common, "MANY", 5)
+    rng = random.Random(6)
+    pool = [f"a line that is shared, number {i}" for i in range(40)]
+    rows = [(i % 50 if i < 60 else None, "\n".join(rng.choice(pool[: rng.choice([2, 40])]) for _ in range(8))) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(df).collect()]
+    want = [(i, k, n, n - (len(k.split("\n")) if k else 0)) for i, n, k in brute_lines(rows)]
+    order = lambda x: (x[0] is not None, x)
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    """Half of the lines of each text go, every other one."""
+    took = []
+    for n in (2_000, 100_000, 100_000):
+        text = "\n".join(f"a common line with number {i}" if i % 2 else f"own line {i}" for i in range(n))
+        df = spark.createDataFrame([(i, f"{text}\nend {i}") for i in range(3)], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in L.line_dedup(df).collect()}
+        took.append(time.time() - began)
+        short = "\n".join(f"own line {i}" for i in range(0, n, 2))
+        assert got == {0: (n + 1, n // 2, f"{short}\nend 0"), 1: (n + 1, n // 2, f"{short}\nend 1"), 2: (n + 1, 0, f"{text}\nend 2")}
+    assert took[2] < 10
+
+
 def test_line_dedup_awkward(spark):
     assert L.op4_line_dedup(awkward(spark)).count() == len(ROWS)
     assert L.op4_line_dedup(empty(spark)).collect() == []
@@ -166,6 +195,22 @@ def test_short_texts_that_keep_half_are_alike():
         assert W.likeness(W.hashes(W.winnow(a)), W.hashes(W.winnow(W.edited(a, b)))) > 0, n
 
 
+def jaccard(a, b):
+    """Of the hashes (8 of each 16 digits) of two printed fingerprints."""
+    x, y = ({p[i : i + 8] for i in range(0, len(p), 16)} for p in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_fingerprints_of_many_ranges(spark):
+    """Very unequal texts over more ranges than rows of some; each row meets its successor."""
+    rng = random.Random(4)
+    rows = [(i * 7 - 300, "".join(rng.choice("abc ") for _ in range(20_000 if i == 40 else rng.randrange(60)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n in (1, 3, 60):
+        got = {r.doc_id: (r.edited_sha256, r.fingerprint) for r in W.fingerprints(df, ranges=n).collect()}
+        assert got == {i: (hashlib.sha256(W.edited(t, rows[(j + 1) % 150][1]).encode()).hexdigest(), W.as_text(W.winnow(t))) for j, (i, t) in enumerate(rows)}
+
+
 def test_fingerprints_in_order_of_ids(spark):
     rows = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
     got = W.fingerprints(awkward(spark), ranges=5).collect()
@@ -174,7 +219,8 @@ def test_fingerprints_in_order_of_ids(spark):
     for n, (i, t) in enumerate(rows):
         following = rows[(n + 1) % len(rows)][1]
         e = W.edited(t, following)
-        want.append((i or -1, len(t), hashlib.sha256(e.encode()).hexdigest(), W.as_text(W.winnow(t)), W.likeness(W.hashes(W.winnow(t)), W.hashes(W.winnow(following)))))
-    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in got) == sorted(want)
+        own, other, after = (W.as_text(W.winnow(x)) for x in (t, e, following))
+        want.append((i or -1, len(t), hashlib.sha256(e.encode()).hexdigest(), own, other, jaccard(own, other), jaccard(own, after)))
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
     one = W.fingerprints(spark.createDataFrame([(5, "abc")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
