@@ -2,7 +2,9 @@
 
 Writing: payloads are hashed in the JVM; the response of each payload is the smallest page id, found by a
 partial aggregation of (digest, id) so that a payload shared by a third of all pages arrives as one row per
-task.  Records are packed into archives of a bounded size; an archive is a run of gzip members and is kept as
+task.  Repeated payloads meet their pages by broadcast where they are few, and then html isn't shuffled; else
+those with the largest shares of all pages do, as many as those shares allow, and the others in a join of narrow
+rows.  Records are packed into archives of a bounded size; an archive is a run of gzip members and is kept as
 one binary row in the shared folder (``data`` can be saved as a ``.warc.gz`` file as it is).
 
 Reading: a sequential reader feeds the bytes piece by piece to an incremental decompressor, restarts it at
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialize, ship
+from quillstream.llm.common import few, materialize, met, ship, slices
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -35,8 +37,6 @@ ARCHIVE_BYTES = 4 << 20
 #: Bytes given to the decompressor at once.
 PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
-#: No header block of a record may be longer.
-MOST_HEADER = 1 << 20
 
 
 class WarcError(ValueError):
@@ -108,7 +108,7 @@ def read_warc(data: bytes | memoryview, piece: int = PIECE) -> Iterator[Record]:
 
 def frame(member: bytes) -> Record:
     """A decompressed member as headers and a block of Content-Length bytes."""
-    end = member.find(CRLF + CRLF, 0, MOST_HEADER)
+    end = member.find(CRLF + CRLF)
     if end < 0:
         raise WarcError("no end of the header")
     first, *lines = member[:end].split(CRLF)
@@ -156,14 +156,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(members)], pa.int64()), pa.array([data], pa.binary())], names=["archive", "n_records", "data"])
 
     members, size = [], 0
-    for batch in batches:
-        for page_id, url, html, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            payload = (html or "").encode()
-            members.append(page_record(page_id, url, payload, sha1_base32(payload), kind, refers_to))
-            size += len(members[-1])
-            if size >= ARCHIVE_BYTES:
-                yield out(members)
-                members, size = [], 0
+    for whole in batches:
+        for batch in slices(whole, 2):
+            for page_id, url, html, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = (html or "").encode()
+                members.append(page_record(page_id, url, payload, sha1_base32(payload), kind, refers_to))
+                size += len(members[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield out(members)
+                    members, size = [], 0
     if members:
         yield out(members)
 
@@ -206,13 +207,19 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     key = rows.withColumn("digest", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))).withColumn("big", F.octet_length("html") >= min_bytes)
     firsts = key.filter("big").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    # only repeated payloads can be revisits: (id, digest) rows meet their first id without the html
-    hit = (
-        key.filter("big").select("page_id", "digest").join(firsts, "digest")
-        .groupBy("page_id", "digest").agg(F.first("first_id").alias("first_id"))
-        .withColumnRenamed("page_id", "hit_id").withColumnRenamed("digest", "hit_digest")
-    )
-    marked = key.join(hit, F.col("page_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
+    firsts = materialize(firsts, "payloads")
+    known = few(firsts)
+    if known is not None:
+        hits = known.select(F.col("digest").alias("hit_digest"), "first_id")
+        marked = key.join(F.broadcast(hits), F.col("big") & (F.col("digest") == F.col("hit_digest")), "left")
+    else:
+        # (id, digest) rows meet their first id without the html
+        hits = (
+            met(key.filter("big").select("page_id", "digest"), firsts, ["digest"], "n")
+            .groupBy("page_id", "digest").agg(F.first("first_id").alias("first_id"))
+            .withColumnRenamed("page_id", "hit_id").withColumnRenamed("digest", "hit_digest")
+        )
+        marked = key.join(hits, F.col("page_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
     revisit = F.col("hit_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     records = marked.select(
         "page_id", "url", "html",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstream.llm import topk_search as S
+from quillstream.llm import common
 from quillstream.llm import warc as A
 from quillstream.llm.bpe import WordBpe, bpe_encode, op6_bpe
 
@@ -94,6 +95,22 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in small} == {"response"}
 
 
+def test_warc_where_payloads_are_joined(spark, monkeypatch):
+    """A third of the pages have one payload, over several batches; a url is longer than a megabyte."""
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common, "MANY", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = [(i, "u" * (1_200_000 if i == 7 else 3), "hot" if i % 3 == 0 else f"page {i // 2}") for i in range(900)]
+        got = {r.page_id: (r.record_type, r.refers_to) for r in A.op7_warc(spark.createDataFrame(rows, PAGE)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h in rows}
+
+
 def test_warc_files(spark, tmp_path):
     for r in A.write_archives(spark.createDataFrame(PAGES, PAGE)).collect():
         (tmp_path / r.archive).write_bytes(r.data)
