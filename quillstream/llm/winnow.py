@@ -5,9 +5,10 @@ rightmost of equals, and kept with its position.  Two texts that share k + w - 1
 chosen hash; no run shorter than k is ever matched.  All steps are array passes of doubling width, so a text
 costs O(n log w) whatever it holds.
 
-A document is compared with its successor by id without a global sort: ids are cut into ranges at approximate
-quantiles, each range's smallest id is known from one small aggregate, and a range's first document is dealt to
-the preceding range as well.  Text is shuffled once, by range; tasks stream their sorted rows.
+A document is compared with its successor by id without a global sort: ids are cut into fine ranges at approximate
+quantiles, of which one small aggregate tells the bytes and the smallest id; neighbours are put together to ranges
+of about equal bytes, and a range's first document is dealt to the preceding range as well.  Text is shuffled once,
+a range to a partition; tasks stream their sorted rows.  Boundaries are in the plan as a single literal each.
 
 Defined results: a null text is the empty text, whose fingerprint is the empty string; a text shorter than k has
 one hash, of all of it; likeness is the Jaccard index of the hash sets, 1 for two empty ones; null ids come
@@ -17,28 +18,25 @@ first; rows that repeat an id follow each other by text; a single row is its own
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import ship, slices, texts
+from quillstream.llm.shingles import mix
 
 K, W = 12, 16
+#: Fine ranges of ids for each range that is dealt.
+FINE = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """32-bit hashes of all k-grams, in the high half of 64 bits; of the whole text if it is shorter."""
     k = min(k, len(codes))
@@ -138,32 +136,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     n = ranges or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("c")).first().c
+    fine = FINE * n
+    cuts = rows.agg(F.percentile_approx("key", [i / fine for i in range(1, fine)], 10 * fine).alias("c")).first().c
     names = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if cuts is None:
         return spark.createDataFrame([], names).withColumnRenamed("id", id_col)
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key")))
-    tie = F.xxhash64("text")
-    dealt = rows.withColumn("bucket", bucket).withColumn("tie", tie)
-    # one row per range: bounded by the number of ranges
-    firsts = {r.bucket: (r.f.key, r.f.tie) for r in dealt.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).collect()}
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first range's first row closes the last range
-    first = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(firsts[b][0]).cast("long").alias("key"), F.lit(firsts[b][1]).cast("long").alias("tie")))])
-    is_first = first[F.col("bucket")] == F.struct("key", "tie")
-    back = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])
-    copies = F.when(
-        is_first,
-        F.array(
-            F.struct(F.col("bucket").alias("b"), F.lit(True).alias("real")),
-            F.struct(back[F.col("bucket")].alias("b"), F.lit(False).alias("real")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("real"))))
-    spread = dealt.select("key", "id", "text", "tie", F.explode(copies).alias("c")).select("c.b", "key", "id", "text", "tie", "c.real")
-    sorted_rows = spread.repartition(max(len(order), 1), "b").sortWithinPartitions("b", F.desc("real"), "key", "tie").select("b", "id", "text", "real")
+    dealt = rows.withColumn("fine", _range_of(F.col("key"), sorted(set(cuts)))).withColumn("tie", F.xxhash64("text"))
+    # a row a fine range: bounded by the number of partitions
+    seen = sorted(dealt.groupBy("fine").agg(F.sum(F.octet_length("text") + 64).alias("size"), F.min(F.struct("key", "tie")).alias("first")).collect())
+    total, upto, merged, firsts, last = sum(r["size"] for r in seen), 0, [0] * (len(cuts) + 1), [], None
+    for r in seen:
+        here = upto * n // total
+        if here != last:
+            firsts.append(r["first"])
+            last = here
+        merged[r["fine"]] = len(firsts) - 1
+        upto += r["size"]
+    bucket = F.get(_literal(merged, "int"), F.col("fine"))
+    at = F.col("bucket")
+    is_first = (F.get(_literal([f.key for f in firsts], "long"), at) == F.col("key")) & (F.get(_literal([f.tie for f in firsts], "long"), at) == F.col("tie"))
+    own = F.struct(at.alias("b"), F.lit(True).alias("real"))
+    # the first range's first row closes the last range
+    back = F.struct(F.pmod(at - 1, F.lit(len(firsts))).alias("b"), F.lit(False).alias("real"))
+    copies = F.when(is_first, F.array(own, back)).otherwise(F.array(own))
+    spread = dealt.withColumn("bucket", bucket).select("key", "id", "text", "tie", F.explode(copies).alias("c")).select("c.b", "key", "id", "text", "tie", "c.real")
+    sorted_rows = spread.repartitionById(len(firsts), F.col("b")).sortWithinPartitions("b", F.desc("real"), "key", "tie").select("b", "id", "text", "real")
     return sorted_rows.mapInArrow(_rows, names).withColumnRenamed("id", id_col)
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are not above the key, by a search in two steps."""
+    step = max(1, math.isqrt(len(cuts)))
+    heads = cuts[::step]
+    upto = F.size(F.filter(_literal(heads, "long"), lambda c: c <= key))
+    rest = F.get(_literal([[], *(cuts[i : i + step] for i in range(0, len(cuts), step))], "array<long>"), upto)
+    return F.when(upto == 0, F.lit(0)).otherwise((upto - 1) * step + F.size(F.filter(rest, lambda c: c <= key)))
+
+
 def op3_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints(docs)
