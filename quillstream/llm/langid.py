@@ -4,14 +4,15 @@ Features are hashed 1- to 3-grams of the code points of a normalised text (lower
 letters as one blank).  Document frequencies come from all documents that may be learned from, one pass that
 yields a bounded vector of counts per task.  Weights are trained by follow-the-regularised-leader (per-coordinate
 rates) with L1 and L2 penalties, on a bounded sample of labelled rows (``per_language`` of each language, lowest
-hash first); a fifth of the sample is set aside to fit the temperature that calibrates the probabilities.
+hash first), which one pass chooses and a second reduces to features on the executors; a fifth of the sample is
+set aside to fit the temperature that calibrates the probabilities.
 
 The model (buckets x languages weights) is broadcast: its size is fixed by parameters.  Texts are scored whole,
 in one pass without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when there is
-nothing to learn from; a single known language is predicted with score 1; repeated rows are scored each; further
-columns are ignored.
+nothing to learn from; a single known language is predicted with score 1; a language beyond the ``LANGUAGES`` most
+frequent is never predicted; repeated rows are scored each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import ship, slices, texts
@@ -67,10 +68,16 @@ def counts(codes: np.ndarray) -> np.ndarray:
     return np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS) if found else np.zeros(BUCKETS, dtype=np.int64)
 
 
-def tfidf(c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and unit weights of a text's features."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and counts of a text's features."""
+    c = counts(normalise(text))
     i = np.nonzero(c)[0]
-    x = (1 + np.log(c[i])) * idf[i]
+    return i, c[i]
+
+
+def tfidf(i: np.ndarray, c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and unit weights of features."""
+    x = (1 + np.log(c)) * idf[i]
     norm = np.sqrt((x * x).sum())
     return i, x / norm if norm else x
 
@@ -81,21 +88,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    """Fitted on (id, text, language) rows with document frequencies of the corpus."""
+    """Fitted on (language, features, counts) rows with document frequencies of the corpus."""
 
-    def __init__(self, rows: list[tuple[int, str, str]], df: np.ndarray, n_docs: int):
-        self.languages = sorted({lang for _, _, lang in rows})
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_docs: int):
+        self.languages = sorted({lang for lang, _, _ in rows})
         self.idf = np.log((n_docs + 1) / (df + 1)) + 1
         self.weights = np.zeros((BUCKETS, len(self.languages)))
         self.temperature = 1.0
         if len(self.languages) > 1:
             self._train(rows)
 
-    def _train(self, rows: list[tuple[int, str, str]]) -> None:
+    def _train(self, rows: list[tuple[str, np.ndarray, np.ndarray]]) -> None:
         rng = np.random.default_rng(7)
         at = {lang: i for i, lang in enumerate(self.languages)}
-        rows = [(normalise(t), at[lang]) for _, t, lang in sorted(rows)]
-        feats = [(tfidf(counts(t), self.idf), y) for t, y in rows if len(t)]
+        feats = [(tfidf(i, c, self.idf), at[lang]) for lang, i, c in rows if len(i)]
         order = rng.permutation(len(feats))
         n_held = len(feats) // 5
         held, train = order[:n_held], order[n_held:]
@@ -130,10 +136,10 @@ class LanguageModel:
 
     def posteriors(self, text: str) -> np.ndarray | None:
         """Calibrated probabilities of the languages; None without a letter or a language."""
-        inner = normalise(text)
-        if not len(inner) or not self.languages:
+        i, c = features(text)
+        if not len(i) or not self.languages:
             return None
-        i, x = tfidf(counts(inner), self.idf)
+        i, x = tfidf(i, c, self.idf)
         return softmax((x @ self.weights[i]) / self.temperature)
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -167,12 +173,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
             df[r.bucket] = r.n
     n_docs = next((r.n for r in total if r.bucket < 0), 0)
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = []
-    for lang in langs:
-        ids += rows.filter(F.col("lang") == lang).select("id").orderBy(F.xxhash64("id"), "id").limit(per_language).collect()
-    picked = docs.sparkSession.createDataFrame([(r.id,) for r in ids], "id long").distinct()
-    got = rows.join(F.broadcast(picked), "id").select("id", "text", "lang").collect()
-    return LanguageModel([(r.id, r.text, r.lang) for r in got], df, n_docs)
+    # each task keeps the lowest of each language before rows are shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    lowest = rows.select("id", "lang").withColumn("place", place).filter(F.col("place") <= per_language).filter(F.col("lang").isin(langs)).select("id").distinct()
+    picked = docs.sparkSession.createDataFrame(lowest.collect(), "id long")  # LANGUAGES * per_language rows at most
+    chosen = rows.join(F.broadcast(picked), "id").filter(F.col("lang").isin(langs)).select("id", "lang", "text")
+    got = chosen.mapInArrow(_features, "id long, lang string, i binary, c binary").collect()
+    examples = sorted((r.id, r.lang, bytes(r.i), bytes(r.c)) for r in got)
+    return LanguageModel([(lang, np.frombuffer(i, dtype=np.int16).astype(np.int64), np.frombuffer(c, dtype=np.int32)) for _, lang, i, c in examples], df, n_docs)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map function: (id, lang, features, counts) of rows (id, lang, text)."""
+    for whole in batches:
+        for batch in slices(whole, 2):
+            got = [features(t) for t in texts(batch.column(2))]
+            packed = [pa.array([x[j].astype(kind).tobytes() for x in got], pa.binary()) for j, kind in ((0, np.int16), (1, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["id", "lang", "i", "c"])
 
 
 def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
