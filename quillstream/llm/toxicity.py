@@ -153,7 +153,7 @@ class ExampleIndex:
         self.terms = np.concatenate([examples[i][0] for i in self.order]) if examples else terms
         counts = np.concatenate([examples[i][1] for i in self.order]) if examples else terms
         self.counts = counts.astype(np.int16 if not len(counts) or counts.max() < 1 << 15 else np.int32)
-        self._build()
+        self.n = len(size)
 
     def __getstate__(self) -> bytes:
         """Only what the rest is built from, compressed: a broadcast is on disk more than once."""
@@ -161,7 +161,12 @@ class ExampleIndex:
 
     def __setstate__(self, state: bytes) -> None:
         self.weight, self.order, self.size, self.terms, self.counts = pickle.loads(zlib.decompress(state))
-        self._build()
+        self.n = len(self.size)
+
+    def ready(self) -> None:
+        """Build the postings and matrices, where the index is searched; the driver only ships it."""
+        if not hasattr(self, "matrix"):
+            self._build()
 
     @staticmethod
     def _layout(terms: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -186,7 +191,7 @@ class ExampleIndex:
         return np.lexsort((np.arange(n), -(m * centre[near]).sum(axis=1).round(4), near))
 
     def _build(self) -> None:
-        weight, self.n = self.weight, len(self.size)
+        weight = self.weight
         self.tie = self.order.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.log = 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))
@@ -212,6 +217,7 @@ class ExampleIndex:
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each unit vector (terms, values) the cosines and examples of the k highest positive cosines, ties to the smaller example."""
+        self.ready()
         n_q, edge = len(queries), np.arange(0, self.n, BLOCK)
         often, sums = np.zeros((n_q, self.matrix.shape[1]), dtype=np.float32), np.zeros((n_q, self.n), dtype=np.float32)
         for q, (t, x) in enumerate(queries):
@@ -285,7 +291,7 @@ class ToxicityModel:
         sure = odds - np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
         factor = np.maximum(FLOOR, np.clip(sure / LOG_ODDS, 0, 1) ** 2)
         self.index = ExampleIndex(held, factor * (np.log((n + 1) / (df[0] + df[1] + 1)) + 1))
-        self.table = HashTable(self.vocab)
+        self.table = None
         self.slope, self.shift = 1.0, 0.0
 
     def __getstate__(self) -> dict:
@@ -293,9 +299,7 @@ class ToxicityModel:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._shared = None
-        if self.usable:
-            self.table = HashTable(self.vocab)
+        self.table = self._shared = None
 
     def shared(self, spark: SparkSession):
         """The model as a broadcast, made once."""
@@ -318,7 +322,8 @@ class ToxicityModel:
 
     def left_out_votes(self, examples: list[int]) -> list[float]:
         """The vote on each of these examples by all others."""
-        out, place = [], np.argsort(self.index.order) if self.usable else None
+        self.index.ready()
+        out, place = [], np.argsort(self.index.order)
         for a in range(0, len(examples), TEXTS):
             at = place[examples[a : a + TEXTS]]
             held = [slice(self.index.first[i], self.index.first[i] + self.index.size[i]) for i in at]
@@ -352,6 +357,7 @@ class ToxicityModel:
     def vectors(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The known terms of each text, ascending, and their counts."""
         owner, h = term_hashes(rows)
+        self.table = self.table or HashTable(self.vocab)
         at = self.table.find(h)
         known = at >= 0
         wide = np.int64(max(1, len(self.vocab)))
