@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,17 +143,12 @@ class HashTable:
 class ExampleIndex:
     """Unit vectors of examples in blocks: block maxima and postings by term, and by example for exact cosines."""
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray):
-        """``examples`` are (terms, counts) of each example, ``weight`` is of each term."""
-        self.weight = weight
-        size = np.array([len(t) for t, _ in examples], dtype=np.int64)
-        terms = np.concatenate([t for t, _ in examples]) if examples else np.empty(0, dtype=np.int32)
+    def __init__(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray):
+        """Of each example, one after the other, ``size`` terms and their counts; ``weight`` is of each term."""
+        self.weight, self.n = weight, len(size)
         self.order = self._layout(terms, size)  # of each position in the blocks the example
-        self.size = size[self.order]
-        self.terms = np.concatenate([examples[i][0] for i in self.order]) if examples else terms
-        counts = np.concatenate([examples[i][1] for i in self.order]) if examples else terms
-        self.counts = counts.astype(np.int16 if not len(counts) or counts.max() < 1 << 15 else np.int32)
-        self.n = len(size)
+        at = ranges((np.cumsum(size) - size)[self.order], size[self.order])
+        self.size, self.terms, self.counts = size[self.order], terms[at], counts[at]
 
     def __getstate__(self) -> bytes:
         """Only what the rest is built from, compressed: a broadcast is on disk more than once."""
@@ -176,11 +171,12 @@ class ExampleIndex:
             return np.arange(n)
         df = np.bincount(terms)
         often = np.argsort(-df, kind="stable")[:512]
-        column = np.full(len(df), -1)
+        column = np.full(len(df), -1, dtype=np.int16)
         column[often] = np.arange(len(often))
-        at, row = column[terms], np.repeat(np.arange(n), size)
+        some = np.nonzero(column[terms] >= 0)[0]
+        row, at = np.searchsorted(np.cumsum(size), some, "right"), column[terms[some]]
         m = np.zeros((n, len(often)), dtype=np.float32)
-        m[row[at >= 0], at[at >= 0]] = np.log((n + 1) / df[terms[at >= 0]])
+        m[row, at] = np.log((n + 1) / df[terms[some]])
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
         centre = m[np.random.default_rng(1).choice(n, min(n, CLUSTERS), replace=False)]
         for _ in range(8):
@@ -194,9 +190,9 @@ class ExampleIndex:
         weight = self.weight
         self.tie = self.order.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.log = 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))
+        self.log = np.concatenate(([0.0], 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))))
         row = np.repeat(np.arange(self.n), self.size)
-        x = self.log[self.counts - 1] * weight[self.terms]
+        x = self.log[self.counts] * weight[self.terms]
         self.norm = np.sqrt(np.bincount(row, x * x, self.n))
         x = (x / self.norm[row]).astype(np.float32)
         df = np.bincount(self.terms, minlength=len(weight))
@@ -257,7 +253,7 @@ class ExampleIndex:
             terms = np.concatenate([self.terms[s] for s in spans])
             shared = np.nonzero(mine.take(terms))[0]
             counts = np.concatenate([self.counts[s] for s in spans])[shared]
-            dots = values.take(terms[shared]) * self.log.take(counts - 1)
+            dots = values.take(terms[shared]) * self.log.take(counts)
             of = np.searchsorted(np.cumsum(self.size[i]), shared, "right")
             cosines = np.round(np.bincount(of, dots, len(i)) / self.norm[i], 12)
             mine[t], values[t] = False, 0
@@ -269,29 +265,40 @@ class ExampleIndex:
 class ToxicityModel:
     """Fitted on (id, toxic, term hashes, counts) of examples; ``totals`` are the labelled rows of each label."""
 
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], totals: tuple[int, int]):
-        examples = sorted(examples, key=lambda e: (e[0], e[2].tobytes(), e[3].tobytes()))
-        sampled = [sum(e[1] == y for e in examples) for y in (0, 1)]
-        self.usable = min(sampled) > 0
-        self._shared = None
+    def __init__(self, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]], totals: tuple[int, int]):
+        # all hashes and counts in a row: the driver holds them once
+        rows, hashes, counts = [], [], []
+        for i, y, h, c in examples:
+            rows.append((i, y, zlib.crc32(h), zlib.crc32(c), len(h), len(rows)))
+            hashes.append(h)
+            counts.append(c.astype(np.uint16) if not len(c) or c.max() < 1 << 16 else c)
+        rows.sort()
+        hashes, counts = ([x[r[-1]] for r in rows] for x in (hashes, counts))
+        sampled = [sum(r[1] == y for r in rows) for y in (0, 1)]
+        self.usable, self.table, self._shared = min(sampled) > 0, None, None
         if not self.usable:
             return
         class_weight = [totals[y] / sampled[y] for y in (0, 1)]
-        empty = [class_weight[y] * sum(e[1] == y and not len(e[2]) for e in examples) for y in (0, 1)]
+        empty = [class_weight[y] * sum(r[1] == y and not r[4] for r in rows) for y in (0, 1)]
         self.empty = empty[1] / sum(empty) if sum(empty) else 0.0
         self.prior = totals[1] / sum(totals)
-        n, examples = len(examples), [e for e in examples if len(e[2])]
-        self.ids = np.array([e[0] for e in examples], dtype=np.int64)
-        self.labels = np.array([e[1] for e in examples], dtype=np.int32)
+        n, held = len(rows), [r for r in rows if r[4]]
+        self.ids = np.array([r[0] for r in held], dtype=np.int64)
+        self.labels = np.array([r[1] for r in held], dtype=np.int32)
         self.weight = np.array(class_weight)[self.labels]
-        self.vocab = np.unique(np.concatenate([e[2] for e in examples])) if examples else np.empty(0, dtype=np.uint64)
-        held = [(np.searchsorted(self.vocab, h).astype(np.int32), c) for _, _, h, c in examples]
-        df = [sum((np.bincount(t, minlength=len(self.vocab)) for (t, _), of in zip(held, self.labels, strict=True) if of == y), np.zeros(len(self.vocab))) for y in (0, 1)]
+        size = np.array([r[4] for r in held], dtype=np.int64)
+        counts = np.concatenate([np.empty(0, dtype=np.uint16), *counts])
+        flat = np.concatenate([np.empty(0, dtype=np.uint64), *hashes])
+        del hashes
+        self.vocab = np.unique(flat)
+        terms = np.searchsorted(self.vocab, flat).astype(np.int32)
+        del flat
+        toxic = np.repeat(self.labels.astype(bool), size)
+        df = [np.bincount(terms[toxic == y], minlength=len(self.vocab)) for y in (False, True)]
         odds = np.log((df[1] + 0.5) / (sampled[1] + 1)) - np.log((df[0] + 0.5) / (sampled[0] + 1))
         sure = odds - np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
         factor = np.maximum(FLOOR, np.clip(sure / LOG_ODDS, 0, 1) ** 2)
-        self.index = ExampleIndex(held, factor * (np.log((n + 1) / (df[0] + df[1] + 1)) + 1))
-        self.table = None
+        self.index = ExampleIndex(size, terms, counts, factor * (np.log((n + 1) / (df[0] + df[1] + 1)) + 1))
         self.slope, self.shift = 1.0, 0.0
 
     def __getstate__(self) -> dict:
@@ -411,7 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
     picked = spark.createDataFrame([(r.id, r.y) for c in chosen for r in c.collect()], "id long, y int")  # 2 * per_label rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
     got = rows.mapInArrow(_features, "id long, y int, h binary, c binary").toLocalIterator()
-    model = ToxicityModel([(r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype=np.int32)) for r in got], (count.get(0, 0), count.get(1, 0)))
+    model = ToxicityModel(((r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype=np.int32)) for r in got), (count.get(0, 0), count.get(1, 0)))
     if model.usable:
         shared = model.shared(spark)
 

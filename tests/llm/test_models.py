@@ -56,7 +56,7 @@ def test_index_is_exact(monkeypatch):
     dense = np.where(counts > 0, 1 + np.log(counts.clip(1)), 0) * weight
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     rows = [(np.nonzero(c)[0].astype(np.int32), c[c > 0].astype(np.int32)) for c in counts]
-    index = T.ExampleIndex(rows, weight)
+    index = T.ExampleIndex(np.array([len(t) for t, _ in rows]), *(np.concatenate(x) for x in zip(*rows, strict=True)), weight)
     index = pickle.loads(pickle.dumps(index))
     for skip in (None, np.argsort(index.order).tolist()):
         got = index.search([(t, dense[i, t]) for i, (t, _) in enumerate(rows)], 7, skip)
