@@ -79,10 +79,11 @@ class AnswerConfig:
 
     @classmethod
     def load(cls, data: dict[str, Any]) -> AnswerConfig:
-        return _from_mapping(cls, data.get("answering") or {})
+        """From a document with an ``answer`` section."""
+        return _from_mapping(cls, data.get("answer") or {})
 
 
-#: Settings that a deployment ships with.
+# The settings that a deployment ships with.
 SHIPPED_HYBRID = HybridConfig(seed_top_k=10, dense_min_score=0.60, sparse_min_score=30.0)
 SHIPPED_RETRIEVAL = RetrievalConfig(top_k=10)
 SHIPPED_ANSWER = AnswerConfig(max_context_chars=50000)

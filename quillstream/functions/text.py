@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,17 @@ MARKER = r"\[(E\d+)\]"
 CONTEXT_TAG = r"^\[[^\]\r\n]*\]\s*(?:\r?\n)?"
 DEFAULT_TITLE = "이미지 분석 요청"
 CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}"
+#: Words that the analysis drops.
+STOP_WORDS = (
+    "a", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "s", "such", "t", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with", "www",
+)
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
 HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94))
+#: Half-width kana and their full forms, by the compatibility decompositions of Unicode; some take a voicing mark.
+KANA = "".join(chr(c) for c in range(0xFF65, 0xFFA0))
+FULL_KANA = "".join(unicodedata.normalize("NFKC", c) for c in KANA)
+VOICED_KANA = [(c + m, x) for c in KANA for m in "ﾞﾟ" if len(x := unicodedata.normalize("NFKC", c + m)) == 1]
 
 
 def strip(c: Column) -> Column:
@@ -42,14 +53,22 @@ def standard_id_invalid(c: Column) -> Column:
     return F.coalesce((F.length(strip(c)) > 0) & standard_id(c).isNull(), F.lit(False))
 
 
+def fold_width(c: Column) -> Column:
+    """Full-width ASCII as ASCII, half-width kana as kana."""
+    ascii_ = F.when(c.rlike("[！-～]"), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
+    kana = ascii_
+    for half, full in VOICED_KANA:
+        kana = F.replace(kana, F.lit(half), F.lit(full))
+    return F.when(c.rlike("[･-ﾟ]"), F.translate(kana, KANA, FULL_KANA)).otherwise(ascii_)
+
+
 def words(c: Column) -> Column:
-    """Lower-case runs of letters and digits, full-width forms folded."""
-    folded = F.when(c.rlike("[！-～]"), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
-    return F.filter(F.split(F.lower(folded), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    """Lower-case runs of letters and digits, widths folded."""
+    return F.filter(F.split(F.lower(fold_width(c)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
 def analyze(c: Column) -> Column:
-    """Tokens of the CJK analysis: bigrams over CJK runs (a single character as it is), other words whole."""
+    """Tokens of the CJK analysis: bigrams over CJK runs (a single character as it is), other words whole, no stop words."""
     marked = F.transform(words(c), lambda w: F.split(w, f"(?<=[{CJK}])(?=[^{CJK}])|(?<=[^{CJK}])(?=[{CJK}])"))
 
     def grams(run: Column) -> Column:
@@ -59,7 +78,8 @@ def analyze(c: Column) -> Column:
         ).otherwise(F.array(run))
 
     runs = F.flatten(marked)
-    return F.when(c.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, grams))).otherwise(words(c))
+    tokens = F.when(c.rlike(f"[{CJK}ｦ-ﾟ]"), F.flatten(F.transform(runs, grams))).otherwise(words(c))
+    return F.filter(tokens, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def citation(label: Column, alias: Column, standard: Column, paragraph: Column, chunk_id: Column) -> Column:

@@ -1,17 +1,71 @@
-"""Admission control in batch: sliding-window limits and short-lived idempotent jobs, as folds over ordered events.
+"""Admission control in batch: sliding-window limits, and short-lived idempotent jobs, as folds over ordered events.
 
-A key's events are sorted and folded by one expression with an accumulator, so the state never leaves the JVM.
-A limiter's state holds the accepted times of the last window only; a job's state is a fixed number of fields.
+Events are shuffled by key, sorted within partitions, and streamed through one fold a task, which holds the state
+of a single key: a limiter's accepted times of the last window, a job's few fields, a client's live jobs.  A key
+with any number of events takes time in proportion to them.  Null keys are one key; an empty table gives none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.cluster import ship
+
 JOB_TTL_SECONDS = 600
 
 
+def limiter_step(recent: list[int], us: int, span: int, limit: int) -> tuple[list[int], bool]:
+    """State after a call at ``us``, and whether it passes."""
+    if limit <= 0:
+        return recent, True
+    first = next((i for i, t in enumerate(recent) if us - t <= span), len(recent))  # times ascend
+    recent = recent[first:]
+    return (recent + [us], True) if len(recent) < limit else (recent, False)
+
+
+def job_step(status: str | None, at: int, no: int, us: int, op: str, span: int) -> tuple[str | None, int, int, str]:
+    """(status, updated at, number of jobs, outcome) after a call on a request id's job."""
+    expired = status is not None and op in ("create", "get") and us - at > span
+    live = None if expired else status
+    if op == "create":
+        return ("pending", us, no + 1, "created") if live is None else (live, at, no, "existing")
+    if op == "get":
+        return live, at, no, live or "none"
+    if live is None:
+        return None, at, no, "none"
+    if op == "delete":
+        return None, at, no, "done"
+    return ("complete" if op == "finish" else "error"), us, no, "done"
+
+
+def _fold(rows: DataFrame, new: Callable[[], Any], step: Callable[..., tuple], outputs: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """Rows (key, id, us, …) with outputs of ``step(state, row…) -> (state, outputs)``, in order of (us, id) within a key."""
+    ship(rows.sparkSession)
+    names, extra = rows.columns, rows.columns[3:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: Any = run  # no key equals it
+        state = None
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            out = []
+            for k, _, us, *rest in zip(*cols, strict=True):
+                if key is run or k != key:
+                    key, state = k, new()
+                state, got = step(state, us, *rest)
+                out.append(got)
+            made = [pa.array([x[i] for x in out], t) for i, t in enumerate(outputs.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *outputs])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition("key").sortWithinPartitions("key", "us", "id", *extra).mapInArrow(run, f"{kinds}, {schema}")
+
+
 def rate_limit(events: DataFrame, window_seconds: int, limit: int, key: str = "user_id", id_col: str = "event_id", ts: str = "ts") -> DataFrame:
     """(id, key, allowed): an event passes if fewer than ``limit`` passed events lie within the window before it.
 
@@ -21,19 +75,12 @@ def rate_limit(events: DataFrame, window_seconds: int, limit: int, key: str = "u
     if limit <= 0:
         return rows.select("id", "key", F.lit(True).alias("allowed"))
     span = window_seconds * 1_000_000
-    ordered = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("e"))
-    start = F.expr("named_struct('recent', cast(array() as array<bigint>), 'out', cast(array() as array<struct<id: bigint, allowed: boolean>>))")
 
-    def step(s, e):
-        recent = F.filter(s["recent"], lambda t: e["us"] - t <= span)
-        ok = F.size(recent) < limit
-        return F.struct(
-            F.when(ok, F.concat(recent, F.array(e["us"]))).otherwise(recent).alias("recent"),
-            F.concat(s["out"], F.array(F.struct(e["id"].cast("long").alias("id"), ok.alias("allowed")))).alias("out"),
-        )
+    def step(recent: list[int], us: int) -> tuple:
+        recent, ok = limiter_step(recent, us, span, limit)
+        return recent, (ok,)
 
-    folded = ordered.select("key", F.aggregate("e", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("o.id", "key", "o.allowed")
+    return _fold(rows, list, step, {"allowed": pa.bool_()}, "allowed boolean").select("id", "key", "allowed")
 
 
 def job_trace(events: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
@@ -44,26 +91,33 @@ def job_trace(events: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFram
     job_no counts the jobs made for a key; outcome is what the caller sees: created, existing, none, or a status.
     """
     span = ttl_seconds * 1_000_000
-    ordered = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("us", "id", "op"))).alias("e"))
-    start = F.expr(
-        "named_struct('status', cast(null as string), 'at', 0L, 'no', 0L,"
-        " 'out', cast(array() as array<struct<id: bigint, op: string, outcome: string, job_no: bigint>>))"
-    )
-
-    def step(s, e):
-        looks = e["op"].isin("create", "get")
-        gone = s["status"].isNull() | (looks & (e["us"] - s["at"] > span))
-        status = F.when(~gone, s["status"])
-        creates = (e["op"] == "create") & gone
-        ends = e["op"].isin("finish", "fail") & ~gone
-        new = (
-            F.when(creates, F.lit("pending")).when(ends & (e["op"] == "finish"), F.lit("complete")).when(ends, F.lit("error"))
-            .when(e["op"] == "delete", F.lit(None).cast("string")).otherwise(status)
-        )
-        no = s["no"] + F.when(creates, 1).otherwise(0)
-        outcome = F.when(creates, "created").when(e["op"] == "create", "existing").when(e["op"] == "get", F.coalesce(status, F.lit("none"))).otherwise(F.when(gone, "none").otherwise("done"))
-        entry = F.struct(e["id"].cast("long").alias("id"), e["op"].alias("op"), outcome.alias("outcome"), no.alias("job_no"))
-        return F.struct(new.alias("status"), F.when(creates | ends, e["us"]).otherwise(s["at"]).alias("at"), no.alias("no"), F.concat(s["out"], F.array(entry)).alias("out"))
-
-    folded = ordered.select("key", F.aggregate("e", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("o.id", "key", "o.op", "o.outcome", "o.job_no")
+
+    def step(state: tuple, us: int, op: str) -> tuple:
+        *state, outcome = job_step(*state, us, op, span)
+        return state, (outcome, state[2])
+
+    out = _fold(events.select("key", "id", "us", "op"), lambda: (None, 0, 0), step, {"outcome": pa.string(), "job_no": pa.int64()}, "outcome string, job_no long")
+    return out.select("id", "key", "op", "outcome", "job_no")
+
+
+def admitted_jobs(events: DataFrame, window_seconds: int, limit: int, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """(id, key, request, outcome) for creates (key: the client, id, us, request): created, existing or refused.
+
+    The quota is checked inside create: a request whose job is alive gets it and takes none of the quota, a refused
+    one stores nothing, and one without a request id is a job of its own.  Requests belong to one client.
+    """
+    span, life = window_seconds * 1_000_000, ttl_seconds * 1_000_000
+
+    def step(state: tuple, us: int, request: str | None) -> tuple:
+        recent, jobs = state
+        while jobs and us - jobs[next(iter(jobs))] > life:  # in order of their making
+            del jobs[next(iter(jobs))]
+        if request is not None and request in jobs:
+            return state, ("existing",)
+        recent, ok = limiter_step(recent, us, span, limit)
+        if ok and request is not None:
+            jobs[request] = us
+        return (recent, jobs), ("created" if ok else "refused",)
+
+    out = _fold(events.select("key", "id", "us", F.col("request").cast("string").alias("request")), lambda: ([], {}), step, {"outcome": pa.string()}, "outcome string")
+    return out.select("id", "key", "request", "outcome")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.config import HybridConfig
-from quillstream.operators.dense import order
+from quillstream.operators.scan import order
 
 
 def eligible() -> Column:

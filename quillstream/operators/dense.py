@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Questions that are broadcast at once; more are handled block by block.
-QUESTION_BLOCK = 1024
+from quillstream.operators.scan import NULL_SCORE, order, scan_topk
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,30 +24,37 @@ def with_norm(df: DataFrame, col: str = "embedding") -> DataFrame:
     return v.withColumn("norm", F.sqrt(F.aggregate(col, F.lit(0.0), lambda s, x: s + x * x)))
 
 
-def order(qid: str = "qid"):
-    return Window.partitionBy(qid).orderBy(F.desc("score"), F.asc("chunk_id"))
+def unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have ``dim`` numbers and a length, and these as unit rows."""
+    sizes = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.nonzero(sizes == dim)[0]
+    v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim)
+    norm = np.sqrt((v * v).sum(axis=1))
+    ok = norm > 0  # false for nulls inside as well
+    return at[ok], v[ok] / norm[ok, None]
 
 
 def dense_topk(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): k best chunks per question by (1 + cosine) / 2, ties to the smaller id.
 
-    ``questions`` (qid, embedding) is broadcast in blocks of a checked size; chunks stay where they are and each
-    task keeps k rows a question before the shuffle.  The score is null where a norm is zero; such rows rank last.
+    The score is null where a norm is zero, a number is missing or lengths differ; such rows rank last.
     """
-    q = with_norm(questions.select("qid", "embedding")).withColumnRenamed("embedding", "qv").withColumnRenamed("norm", "qn")
-    v = with_norm(vectors.select("chunk_id", "embedding"))
-    n_blocks = -(-q.count() // QUESTION_BLOCK) or 1
-    parts = []
-    for b in range(n_blocks):
-        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        pairs = v.crossJoin(F.broadcast(block))
-        cosine = F.try_divide(dot(F.col("qv"), F.col("embedding")), F.col("qn") * F.col("norm"))
-        scored = pairs.select("qid", "chunk_id", F.round((1 + cosine) / 2, 9).alias("score"))
-        parts.append(scored.withColumn("rank", F.row_number().over(order()).cast("long")).filter(F.col("rank") <= k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def prepare(rows: list[Any]) -> tuple[int, np.ndarray, np.ndarray]:
+        dim = max((len(r.embedding or ()) for r in rows), default=0)
+        at, unit = unit_rows(pa.array([r.embedding for r in rows], pa.list_(pa.float64())), dim)
+        return len(rows), at, unit
+
+    def score(shared: Any, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        n, asked, unit = shared
+        at, rows = unit_rows(batch.column(1), unit.shape[1])
+        out = np.full((n, batch.num_rows), NULL_SCORE)
+        out[np.ix_(asked, at)] = np.round((1 + unit @ rows.T) / 2, 9)
+        yield 0, out
+
+    q = questions.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return scan_topk(q, v, k, prepare, score)
 
 
 def dense_lsh(questions: DataFrame, vectors: DataFrame, k: int, bits: int = 6, tables: int = 24) -> DataFrame:

@@ -55,12 +55,35 @@ def offered(items: DataFrame) -> DataFrame:
     return items.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["item"]).alias("evidence"))
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON text; null stays null."""
+    quoted = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def _member(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f'"{name}": '), text)
+
+
 def prompt_body(questions: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, body): JSON of the evidence, then of the question unless it is empty; null fields are left out."""
+    """(qid, body): JSON text with blanks after separators, of the evidence, then of the question unless it is empty.
+
+    Fields of an item that are null are left out.  Control characters that JSON has no letter for are written with
+    upper-case digits.
+    """
     q = questions.select("qid", strip(F.coalesce("question", F.lit(""))).alias("question"))
     rows = offered(items).join(q, "qid")
-    question = F.when(F.length("question") > 0, F.col("question")).alias("question")
-    return rows.select("qid", F.to_json(F.struct("evidence", question)).alias("body"))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+
+    def text(x: Column, name: str) -> Column:
+        kind = kinds[name]
+        return json_string(x[name]) if kind == "string" else F.to_json(x[name]) if kind.startswith(("array", "struct", "map")) else x[name].cast("string")
+
+    names = ["evidence_id", "source_id", "citation", "statement", *[c for c in METADATA if c in items.columns]]
+    item = lambda x: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[_member(n, text(x, n)) for n in names])), ", "), F.lit("}"))
+    evidence = _member("evidence", F.concat(F.lit("["), F.array_join(F.transform("evidence", item), ", "), F.lit("]")))
+    question = F.when(F.length("question") > 0, _member("question", json_string(F.col("question"))))
+    return rows.select("qid", F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(evidence, question)), ", "), F.lit("}")).alias("body"))
 
 
 def parse_payload(answers: DataFrame, col: str = "model_output") -> DataFrame:
@@ -71,6 +94,7 @@ def parse_payload(answers: DataFrame, col: str = "model_output") -> DataFrame:
     error = (
         F.when(F.length(strip(F.coalesce(F.col(col), F.lit("")))) == 0, "empty output")
         .when(~F.col(col).rlike(r"^\s*\{"), "not an object")
+        .when(F.json_object_keys(col).isNull(), "malformed")
         .when(F.length(conclusion) == 0, "empty conclusion")
     )
     return answers.select("qid", conclusion.alias("conclusion"), F.filter(clean(p["reasoning"]), lambda x: F.length(x) > 0).alias("reasoning"), clean(p["evidence"]).alias("declared"), error.alias("error"))

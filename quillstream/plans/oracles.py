@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillstream.functions.text import STOP_WORDS
 from quillstream.operators import service
 from quillstream.plans import queries as Q
 from quillstream.plans.retrieval import ANSWER, HYBRID, RETRIEVAL
@@ -25,14 +26,14 @@ def _pick(number: str, *values) -> str:
 
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN " + _in(STOP_WORDS) + ")"
 H = HYBRID
 
 CHUNKS = f"""
 chunks AS (
   SELECT d.doc_id, 'D' || lpad(d.doc_id::VARCHAR, 7, '0') AS chunk_id, d.text,
     CASE d.lang WHEN 'de' THEN '1032' WHEN 'en' THEN '1039' WHEN 'es' THEN '1107' WHEN 'fr' THEN '1109' END AS standard_id,
-    ({_list(ZONES)})[CAST(substr(d.source, 4) AS INTEGER) % {len(ZONES)} + 1] AS zone,
+    ({_list(ZONES)})[TRY_CAST(substr(d.source, 4) AS INTEGER) % {len(ZONES)} + 1] AS zone,
     CASE WHEN d.doc_id % 5 = 1 THEN ' ' WHEN d.doc_id % 5 > 1 THEN '문단 ' || d.doc_id END AS citation_label,
     (d.doc_id % 300 + 1)::INTEGER AS pdf_page_start, (d.doc_id % 300 + 2)::INTEGER AS pdf_page_end,
     CASE WHEN d.doc_id % 11 <> 0 THEN (d.doc_id % 3)::INTEGER END AS part_index,
@@ -227,8 +228,9 @@ ORACLES: dict[str, str] = {
     "q39_history_cap": "WITH c AS (SELECT conv_id, max(turn) AS turns, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id), r AS (SELECT conv_id % 3 AS client, conv_id, t, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY turns * 1000 + conv_id % 1000 DESC, conv_id) AS pos FROM c) SELECT client, pos, conv_id, " + _title("t") + " AS title FROM r WHERE pos <= 30",
     "q40_lucene_escape": f"SELECT page_id, regexp_replace(url, '{SPECIAL}', '\\\\\\1', 'g') AS url, md5(regexp_replace(html, '{SPECIAL}', '\\\\\\1', 'g')) AS html_md5 FROM pages",
     "q41_standard_id": "WITH p AS (SELECT doc_id, lpad((doc_id % 10000)::VARCHAR, 4, '0') AS digits FROM documents), f AS (SELECT doc_id, trim(CASE doc_id % " + str(len(Q.STANDARD_FORMS)) + " " + " ".join(_form(i, x) for i, x in enumerate(Q.STANDARD_FORMS)) + r" END) AS v FROM p), m AS (SELECT doc_id, v, nullif(regexp_extract(v, '(?i)^(?:K[\s-]*IFRS\s*)?(?:제\s*)?([0-9０-９]{4})(?:\s*호)?$', 1), '') AS standard_id FROM f) SELECT doc_id, standard_id, coalesce(v <> '' AND standard_id IS NULL, false) AS invalid FROM m",
-    "q42_cjk_bigrams": f"""WITH p AS (SELECT doc_id, {WORDS.format(_pick('doc_id', *Q.PHRASES) + " || ' ' || coalesce(lang, '')")} AS w FROM documents)
-      SELECT doc_id, array_to_string(flatten(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^\\p{{Hangul}}') AND length(x) > 2 THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END)), '|') AS tokens FROM p""",
+    "q42_cjk_bigrams": f"""WITH p AS (SELECT doc_id, {WORDS.format(_pick('doc_id', *Q.PHRASES) + " || ' ' || coalesce(text, '')")} AS w FROM documents),
+      t AS (SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^\\p{{Hangul}}') AND length(x) > 2 THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END)) AS tokens FROM p)
+      SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, '|')) AS tokens_md5 FROM t""",
     "q43_header_split": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN '10.0.' || user_id % 256 || '.1' WHEN event_id % 8 <> 0 THEN '127.0.0.1' ELSE 'unknown' END AS ip, 'http://a|http://' || event_type AS origins FROM events",
     "q44_strip_tag": "WITH" + CHUNKS + r" SELECT chunk_id, md5(regexp_replace(coalesce(contextualized_text, ''), '^\[[^\]\r\n]*\]\s*(?:\r?\n)?', '')) AS statement_md5 FROM chunks",
     "q45_answer_text": PLAN + f""", shown AS (SELECT c.qid, c.cite_no, '[' || c.evidence_id || '] ' || i.citation || chr(10) || regexp_replace(i.statement, '^\\[[^\\]\\r\\n]*\\]\\s*(?:\\r?\\n)?', '') AS line FROM cited c JOIN items i ON i.qid = c.qid AND i.evidence_id = c.evidence_id),
@@ -236,4 +238,40 @@ ORACLES: dict[str, str] = {
       SELECT o.qid, CASE WHEN o.qid % 5 = 0 THEN {_s(service.UNRELIABLE_TEXT)} WHEN o.qid % 5 = 1 THEN {_s(service.ERROR_TEXT)}
         ELSE concat_ws(chr(10), '{service.ANSWER_HEAD}', o.conclusion, '', '{service.REASON_HEAD}', '1. ' || o.reasoning[1], '2. ' || o.reasoning[2], '', '{service.REFERENCE_HEAD}', coalesce(l.refs, '{service.NO_EVIDENCE_TEXT}')) END AS answer_text
       FROM output o LEFT JOIN lines l USING (qid)""",
+    "q19_prompt_body": PLAN + f""", one AS (SELECT qid, string_agg('{{"evidence_id": ' || to_json(evidence_id) || ', "source_id": ' || to_json(source_id) || ', "citation": ' || to_json(citation) || ', "statement": ' || to_json(statement)
+        || ', "pdf_page_start": ' || pdf_page_start || ', "pdf_page_end": ' || pdf_page_end || ', "candidate_source": ' || to_json(candidate_source) || '}}', ', ' ORDER BY evidence_no) AS list FROM items GROUP BY qid)
+      SELECT qid, '{{"evidence": [' || list || ']' || CASE WHEN {STRIP.format("coalesce(question, '')")} <> '' THEN ', "question": ' || to_json({STRIP.format("question")}) ELSE '' END || '}}' AS body FROM one JOIN questions USING (qid)""",
+    "q24_answer_end_to_end": PLAN + """, shown AS (SELECT c.qid, to_json(list({'evidence_id': i.evidence_id, 'citation': i.citation, 'statement': i.statement, 'pdf_page_start': i.pdf_page_start, 'pdf_page_end': i.pdf_page_end, 'candidate_source': i.candidate_source} ORDER BY c.cite_no))::VARCHAR AS evidence
+        FROM cited c JOIN items i ON i.qid = c.qid AND i.evidence_id = c.evidence_id GROUP BY c.qid)
+      SELECT o.qid, o.conclusion, array_to_string(o.reasoning, '|') AS reasoning, s.evidence, NULL::VARCHAR AS error FROM output o LEFT JOIN shown s USING (qid)""",
+    "q46_request_json": f"""WITH p AS (SELECT conv_id, turn, text, (conv_id + turn) % 7 AS kind FROM conversations)
+      SELECT conv_id, turn, CASE WHEN kind IN (0, 1, 4) THEN {STRIP.format('text')} WHEN kind IN (5, 6) THEN '' END AS question, CASE WHEN kind = 5 THEN 1 WHEN kind NOT IN (2, 3) THEN 0 END::BIGINT AS n_images,
+        CASE kind WHEN 0 THEN 5 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 99 ELSE 10 END::BIGINT AS top_k, CASE WHEN kind NOT IN (2, 3) THEN false END AS debug,
+        concat_ws(',', CASE WHEN kind IN (2, 3) THEN 'json' WHEN kind = 1 THEN 'unknown_key' WHEN kind = 5 THEN 'unknown_image_key' WHEN kind = 6 THEN 'type' END, CASE WHEN kind IN (0, 1, 4) AND length(text) > {service.QUESTION_CHARS} THEN 'question_length' END,
+          CASE WHEN kind = 4 THEN 'standard_id,top_k' END, CASE WHEN kind = 6 OR kind IN (0, 1, 4) AND {STRIP.format('text')} = '' THEN 'question_or_image' END) AS errors FROM p""",
+    "q47_response_json": PLAN + f""", g AS (SELECT qid, seed_count, result_count, {GATE}, CASE WHEN threshold_filtered_all THEN {_s(service.FILTERED_REASONING)} ELSE {_s(service.EMPTY_REASONING)} END AS why FROM metrics),
+      f AS (SELECT c.qid, i.citation, i.evidence_id FROM cited c JOIN items i ON i.qid = c.qid AND i.evidence_id = c.evidence_id QUALIFY row_number() OVER (PARTITION BY c.qid ORDER BY c.cite_no) = 1)
+      SELECT g.qid, 'status,reason,conclusion,reasoning,evidence' || CASE WHEN g.qid % 2 = 1 THEN ',diagnostics' ELSE '' END AS keys, g.status, g.reason, coalesce(g.conclusion, o.conclusion) AS conclusion,
+        CASE WHEN g.result_count > 0 THEN o.reasoning[1] ELSE g.why END AS first_step, f.citation AS first_citation, f.evidence_id AS first_evidence,
+        CASE WHEN g.qid % 2 = 1 THEN g.seed_count END AS seed_count, CASE WHEN g.qid % 2 = 1 THEN q.want_standard END AS standard_id, CASE WHEN g.qid % 2 = 1 THEN g.reason END AS diagnostic_reason
+      FROM g JOIN questions q USING (qid) LEFT JOIN output o USING (qid) LEFT JOIN f USING (qid)""",
+    "q48_score_event": PLAN + f""", chosen AS (SELECT qid, to_json(list(chunk_id ORDER BY pos))::VARCHAR AS ids FROM fused_pos WHERE pos <= {H.seed_top_k} GROUP BY qid)
+      SELECT q.qid, 'event,question_hash,filters,thresholds,dense,sparse,selected_chunk_ids' AS keys, sha256(q.question) AS question_hash, q.want_standard AS standard_id, q.want_zone AS zone,
+        {H.dense_min_score}::DOUBLE AS dense_floor, {H.sparse_min_score}::DOUBLE AS sparse_floor, d.chunk_id AS best_dense, d.score >= {H.dense_min_score} AS best_dense_passed, s.chunk_id AS best_sparse, coalesce(c.ids, '[]') AS selected
+      FROM questions q LEFT JOIN dense_f d ON d.qid = q.qid AND d.rank = 1 LEFT JOIN sparse_f s ON s.qid = q.qid AND s.rank = 1 LEFT JOIN chosen c ON c.qid = q.qid""",
+    "q49_hit_payload": PLAN + """SELECT qid, chunk_id, rank, standard_id, zone, 'paragraph' AS chunk_type, md5(text) AS text_md5, md5(contextualized_text) AS contextualized_text_md5, citation_label, pdf_page_start, pdf_page_end, 3 AS search_priority
+      FROM dense_f JOIN chunks USING (chunk_id)""",
+    "q50_job_quota": f"""WITH RECURSIVE e AS (SELECT user_id % {Q.CLIENTS} AS client, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 3 <> 0 THEN user_id || '-' || event_type END AS request,
+        row_number() OVER (PARTITION BY user_id % {Q.CLIENTS} ORDER BY ts, event_id) AS i FROM events),
+      f AS (SELECT client, event_id, i, 'created' AS outcome, [us] AS recent, CASE WHEN request IS NULL THEN [] ELSE [{{'r': request, 'at': us}}] END AS live FROM e WHERE i = 1
+        UNION ALL
+        SELECT client, event_id, i, CASE WHEN old THEN 'existing' WHEN len(now) < {3 * Q.RATE_LIMIT} THEN 'created' ELSE 'refused' END,
+          CASE WHEN NOT old AND len(now) < {3 * Q.RATE_LIMIT} THEN list_append(now, us) ELSE now END,
+          CASE WHEN NOT old AND len(now) < {3 * Q.RATE_LIMIT} AND request IS NOT NULL THEN list_append(held, {{'r': request, 'at': us}}) ELSE held END
+        FROM (SELECT *, coalesce(len(list_filter(held, lambda x: x.r = request)) > 0, false) AS old FROM (
+          SELECT e.client, e.event_id, e.i, e.us, e.request, list_filter(f.recent, lambda t: e.us - t <= {Q.RATE_WINDOW}000000) AS now, list_filter(f.live, lambda x: e.us - x.at <= {Q.JOB_TTL}000000) AS held
+          FROM f JOIN e ON e.client = f.client AND e.i = f.i + 1)))
+      SELECT event_id, client, outcome FROM f""",
+    "q51_stored_history": f"""WITH c AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, unnest(CASE conv_id % 4 WHEN 2 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS pos, t FROM c)
+      SELECT conv_id, pos, 'c' || conv_id AS id, {_title("t")} AS title, 2 AS n_messages FROM p""",
 }

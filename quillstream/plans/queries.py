@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from quillstream.config import HybridConfig
 from quillstream.functions import text as T
-from quillstream.operators import admission, channels, dense, evidence, service, siblings, sparse
+from quillstream.operators import admission, channels, contract, dense, evidence, service
 from quillstream.plans.retrieval import Retrieval
 from quillstream.sources import corpus
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Parameters of the admission queries, chosen so that limits and lifetimes bind on the event table.
 RATE_WINDOW, RATE_LIMIT, JOB_TTL = 86_400, 2, 86_400
+CLIENTS = 50
 
 
 def query(f: Callable) -> Callable:
@@ -337,8 +338,8 @@ PHRASES = ("금융상품의 인식과 측정", "복합금융상품 분류 K", "
 @query
 def q42_cjk_bigrams(spark, d):
     doc = corpus.table(spark, d, "documents")
-    tokens = T.analyze(F.concat(_picked(F.col("doc_id"), *PHRASES), F.lit(" "), F.coalesce("lang", F.lit(""))))
-    return doc.select("doc_id", F.array_join(tokens, "|").alias("tokens"))
+    rows = doc.select("doc_id", T.analyze(F.concat(_picked(F.col("doc_id"), *PHRASES), F.lit(" "), F.coalesce("text", F.lit("")))).alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.encode(F.array_join("tokens", "|"), "UTF-8")).alias("tokens_md5"))
 
 
 @query
@@ -360,3 +361,72 @@ def q45_answer_text(r):
     a = evidence.answer(r.items)
     kind = F.when(F.col("qid") % 5 == 0, "insufficient").when(F.col("qid") % 5 == 1, "system_error").otherwise("answered")
     return a.select("qid", service.answer_text(kind, F.col("conclusion"), F.col("reasoning"), F.col("evidence")).alias("answer_text"))
+
+
+@query
+def q46_request_json(spark, d):
+    """Request documents of several forms, read with their defaults and errors."""
+    c = corpus.table(spark, d, "conversations")
+    asked, n = evidence.json_string(F.col("text")), F.col("conv_id") + F.col("turn")
+    forms = [
+        F.concat(F.lit('{"question": '), asked, F.lit(', "top_k": 5}')), F.concat(F.lit('{"question": '), asked, F.lit(', "extra": 1}')), F.concat(F.lit('{"question": '), asked), F.lit("[1]"),
+        F.concat(F.lit('{"question": '), asked, F.lit(', "top_k": 99, "standard_id": "1110"}')), F.lit('{"images": [{"mime_type": "image/png", "data": "YQ==", "x": 1}]}'), F.lit('{"question": "  ", "top_k": "a"}'),
+    ]
+    body = F.lit(None).cast("string")
+    for i, x in enumerate(forms):
+        body = F.when(n % len(forms) == i, x).otherwise(body)
+    got = contract.read_requests(c.select("conv_id", "turn", body.alias("body")))
+    return got.select("conv_id", "turn", "question", F.size("images").cast("long").alias("n_images"), F.col("top_k").cast("long").alias("top_k"), "debug", F.array_join("errors", ",").alias("errors"))
+
+
+@plan_query
+def q47_response_json(r):
+    """The response document, read back; odd questions ask for diagnostics."""
+    body = contract.public_response(evidence.answer(r.items), r.metrics, r.questions, F.col("qid") % 2 == 1)
+    at = lambda path: F.get_json_object("body", f"$.{path}")
+    return body.select(
+        "qid", F.array_join(F.json_object_keys("body"), ",").alias("keys"), at("status").alias("status"), at("reason").alias("reason"), at("conclusion").alias("conclusion"),
+        at("reasoning[0]").alias("first_step"), at("evidence[0].citation").alias("first_citation"), at("evidence[0].evidence_id").alias("first_evidence"),
+        at("diagnostics.retrieval.seed_count").cast("long").alias("seed_count"), at("diagnostics.retrieval.filters.standard_id").alias("standard_id"), at("diagnostics.reason").alias("diagnostic_reason"),
+    )
+
+
+@plan_query
+def q48_score_event(r):
+    """The score log's documents, read back."""
+    events = contract.score_events(r.questions, r.dense, r.sparse, channels.top_fused(r.fused, r.hybrid.seed_top_k), (r.hybrid.dense_min_score, r.hybrid.sparse_min_score))
+    at = lambda path: F.get_json_object("event", f"$.{path}")
+    return events.select(
+        "qid", F.array_join(F.json_object_keys("event"), ",").alias("keys"), at("question_hash").alias("question_hash"), at("filters.standard_id").alias("standard_id"), at("filters.zone").alias("zone"),
+        at("thresholds.dense").cast("double").alias("dense_floor"), at("thresholds.sparse").cast("double").alias("sparse_floor"),
+        at("dense[0].chunk_id").alias("best_dense"), at("dense[0].passed").cast("boolean").alias("best_dense_passed"), at("sparse[0].chunk_id").alias("best_sparse"), at("selected_chunk_ids").alias("selected"),
+    )
+
+
+@plan_query
+def q49_hit_payload(r):
+    """Dense hits with the columns of their chunks that travel with them."""
+    rows = contract.with_payload(r.dense, r.chunks)
+    digest = lambda c: F.md5(F.encode(F.col(c), "UTF-8")).alias(f"{c}_md5")
+    return rows.select("qid", "chunk_id", "rank", "standard_id", "zone", "chunk_type", digest("text"), digest("contextualized_text"), "citation_label", "pdf_page_start", "pdf_page_end", "search_priority")
+
+
+@query
+def q50_job_quota(spark, d):
+    """Creates of clients under a quota; every third has no request id."""
+    e = corpus.table(spark, d, "events")
+    request = F.when(F.col("event_id") % 3 != 0, F.concat_ws("-", "user_id", "event_type"))
+    rows = e.select((F.col("user_id") % CLIENTS).alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), request.alias("request"))
+    return admission.admitted_jobs(rows, RATE_WINDOW, 3 * RATE_LIMIT, JOB_TTL).select(F.col("id").alias("event_id"), F.col("key").alias("client"), "outcome")
+
+
+@query
+def q51_stored_history(spark, d):
+    """Stored chat lists, some of other shapes, read back."""
+    c = corpus.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"), F.count("*").alias("n"))
+    title, id_ = evidence.json_string(T.chat_title(F.col("t"))), F.col("conv_id").cast("string")
+    whole = F.concat(F.lit('{"id": "c'), id_, F.lit('", "title": '), title, F.lit(', "messages": [{"role": "user"}, 2]}'))
+    kind = F.col("conv_id") % 4
+    value = F.when(kind == 1, F.concat(F.lit('[{"id": "c'), id_, F.lit('"}, '), whole, F.lit("]"))).when(kind == 2, whole).when(kind == 3, F.concat(F.lit("[7, "), whole, F.lit(", "), whole, F.lit("]"))).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
+    got = contract.stored_history(c.select("conv_id", value.alias("value")))
+    return got.select("conv_id", F.col("pos").cast("long").alias("pos"), "id", "title", F.col("n_messages").cast("long").alias("n_messages"))

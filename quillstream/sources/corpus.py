@@ -26,7 +26,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("searchable"), (F.col("toxic") == 1).alias("inactive"))
     zones = F.array(*map(F.lit, ZONES))
-    zone = F.element_at(zones, (F.substring("source", 4, 9).cast("int") % len(ZONES) + 1).cast("int"))
+    zone = F.element_at(zones, (F.substring("source", 4, 9).try_cast("int") % len(ZONES) + 1).cast("int"))
     std = F.create_map(*[F.lit(x) for kv in LANGUAGE_STANDARD.items() for x in kv])[F.col("lang")]
     label = F.when(F.col("doc_id") % 5 == 1, F.lit(" ")).when(F.col("doc_id") % 5 > 1, F.concat(F.lit("문단 "), F.col("doc_id").cast("string")))
     tagged = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("["), std, F.lit("]\n"), F.col("text")))
