@@ -46,7 +46,7 @@ FLOOR, LOG_ODDS = 0.05, 2.5
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 16
 #: Terms in more than one of so many examples are frequent: their scores are products of matrices.
-DENSE = 24
+DENSE = 16
 #: Examples of a block; clusters that the layout starts from; blocks scored before any is excluded; texts at once.
 BLOCK, CLUSTERS, FIRST, TEXTS = 64, 16, 4, 256
 #: More than the relative error of a cosine (a sum of non-negative products) in single precision.
@@ -187,27 +187,36 @@ class ExampleIndex:
         return np.lexsort((np.arange(n), -(m * centre[near]).sum(axis=1).round(4), near))
 
     def _build(self) -> None:
-        weight = self.weight
         self.tie = self.order.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.log = np.concatenate(([0.0], 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))))
-        row = np.repeat(np.arange(self.n), self.size)
-        x = self.log[self.counts] * weight[self.terms]
-        self.norm = np.sqrt(np.bincount(row, x * x, self.n))
-        x = (x / self.norm[row]).astype(np.float32)
-        df = np.bincount(self.terms, minlength=len(weight))
+        df = np.bincount(self.terms, minlength=len(self.weight))
         often = np.nonzero(df * DENSE > self.n)[0]
         self.blocks = -(-self.n // BLOCK)
-        self.column = np.full(len(weight), -1, dtype=np.int32)
+        self.column = np.full(len(self.weight), -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
-        at = self.column[self.terms]
-        self.matrix = np.zeros((self.n, len(often)), dtype=np.float32)
-        self.matrix[row[at >= 0], at[at >= 0]] = x[at >= 0]
+        self.matrix, self.norm = np.zeros((self.n, len(often)), dtype=np.float32), np.zeros(self.n)
+        terms, rows, values = [], [], []  # of the postings of seldom terms
+        kind = np.int16 if self.n < 1 << 15 else np.int32
+        for a in range(0, self.n, 256):
+            b = min(a + 256, self.n)
+            here = slice(self.first[a], self.first[b - 1] + self.size[b - 1])
+            row = np.repeat(np.arange(a, b), self.size[a:b])
+            x = self.log[self.counts[here]] * self.weight[self.terms[here]]
+            self.norm[a:b] = np.sqrt(np.bincount(row - a, x * x, b - a))
+            x = (x / self.norm[row]).astype(np.float32)
+            at = self.column[self.terms[here]]
+            wide = at >= 0
+            self.matrix[row[wide], at[wide]] = x[wide]
+            for part, of in ((terms, self.terms[here]), (rows, row.astype(kind)), (values, x)):
+                part.append(of[~wide])
         edge = np.arange(0, self.n, BLOCK)
         self.tops = np.maximum.reduceat(self.matrix, edge, axis=0).T.copy() if self.n else self.matrix.T
-        seldom = np.nonzero(at < 0)[0]
-        seldom = seldom[np.argsort(self.terms[seldom], kind="stable")]
-        self.docs, self.values = row[seldom].astype(np.int16 if self.n < 1 << 15 else np.int64), x[seldom]
+        by_term = np.argsort(np.concatenate([self.terms[:0], *terms]), kind="stable").astype(np.int32)
+        del terms
+        self.docs = np.concatenate([np.empty(0, dtype=kind), *rows])[by_term]
+        del rows
+        self.values = np.concatenate([self.matrix[:0, :0].ravel(), *values])[by_term]
         self.df = np.where(self.column < 0, df, 0)
         self.start = np.cumsum(self.df) - self.df
 
