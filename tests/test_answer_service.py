@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstream.config import AnswerConfig
 from quillstream.operators import evidence, service
-from quillstream.operators.admission import job_trace, rate_limit
+from quillstream.operators.admission import admitted_jobs, job_step, job_trace, limiter_step, rate_limit
 from quillstream.streaming import admission as stream
 
 RESULT = "qid long, pos long, chunk_id string, text string, contextualized_text string, citation_label string, standard_id string, candidate_source string"
@@ -58,15 +58,17 @@ def test_citations_join_back_in_order(spark):
 
 
 def test_payload_errors(spark):
-    rows = [(1, ""), (2, None), (3, "[1]"), (4, '{"conclusion":" "}'), (5, '{"conclusion":"c"}')]
+    rows = [(1, ""), (2, None), (3, "[1]"), (4, '{"conclusion":" "}'), (5, '{"conclusion":"c"}'), (6, '{"conclusion": "c"'), (7, "{x}")]
     got = {r.qid: r.error for r in evidence.parse_payload(spark.createDataFrame(rows, "qid long, model_output string")).collect()}
-    assert got == {1: "empty output", 2: "empty output", 3: "not an object", 4: "empty conclusion", 5: None}
+    assert got == {1: "empty output", 2: "empty output", 3: "not an object", 4: "empty conclusion", 5: None, 6: "malformed", 7: "malformed"}
 
 
 def test_prompt_leaves_out_an_empty_question(spark):
     items = evidence.catalog(evidence.candidates(results(spark, [("A", "가", None, "l", None, None)]), AnswerConfig()), AnswerConfig())
     q = spark.createDataFrame([(1, "  ")], "qid long, question string")
-    body = json.loads(evidence.prompt_body(q, items).first().body)
+    text = evidence.prompt_body(q, items).first().body
+    body = json.loads(text)
+    assert text == json.dumps(body, ensure_ascii=False)
     assert list(body) == ["evidence"] and body["evidence"][0]["statement"] == "가"
 
 
@@ -106,7 +108,7 @@ def loop_limiter(times, span, limit):
 
 def test_limiter_boundary_and_rejects(spark):
     secs = [0, 1, 5, 10, 11, 11, 12, 30]
-    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(secs)], "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(secs)], "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 10**9))
     got = [r.allowed for r in rate_limit(rows, 10, 2).orderBy("id").collect()]
     assert got == loop_limiter(secs, 10, 2) == [True, True, False, False, True, False, True, True]
     assert all(r.allowed for r in rate_limit(rows, 10, 0).collect())
@@ -120,7 +122,7 @@ def test_jobs_expire_on_looks_only(spark):
     got = [(r.outcome, r.job_no) for r in job_trace(rows).orderBy("id").collect()]
     state, want = (None, 0, 0), []
     for s, op in CALLS:
-        *state, outcome = stream.job_step(*state, s * 1_000_000, op, 600_000_000)
+        *state, outcome = job_step(*state, s * 1_000_000, op, 600_000_000)
         want.append((outcome, state[2]))
     assert got == want
     # exactly 600 s is alive, later is not, and a late finish revives an unseen job
@@ -144,3 +146,52 @@ def test_streams_equal_batches(spark, tmp_path):
     got = run_stream(stream.rate_limit_stream(live, 86_400, 2), "limit", spark, str(tmp_path))
     want = rate_limit(batch, 86_400, 2)
     assert sorted(map(tuple, got.select("id", "key", "allowed").collect())) == sorted(map(tuple, want.select("id", "key", "allowed").collect()))
+    calls = spark.createDataFrame([(i % 3, i, 10**15 + i * 200_000_000, CALLS[i % len(CALLS)][1]) for i in range(90)], "key long, id long, us long, op string")
+    (tmp_path / "calls").mkdir()
+    calls.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "calls"))
+    jobs = stream.job_stream(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls")))
+    got = run_stream(jobs, "jobs", spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, job_trace(calls).collect()))
+
+
+def test_timers_remove_state(spark, tmp_path):
+    """Once the watermark is past the window, a key's state is gone."""
+    schema = "user_id long, event_id long, s long"
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(([(1, 0, 0), (2, 1, 5)], [(3, 2, 5000)], [(3, 3, 9000)], [(3, 4, 9001)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("s") + 10**9))
+    q = stream.rate_limit_stream(live, 10, 2).writeStream.format("memory").queryName("limits").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1] == 1
+    assert sorted(r.id for r in spark.table("limits").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_limiter_is_linear_in_a_key(spark):
+    import time
+
+    n = 300_000
+    rows = spark.range(n).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    began = time.time()
+    assert rate_limit(rows, 10, 3).filter("allowed").count() == sum(i % 11 < 3 for i in range(n))
+    assert time.time() - began < 30
+
+
+def test_quota_inside_create(spark):
+    """A live request takes no quota, a refused one stores nothing, none is a job of its own."""
+    calls = [(0, "a"), (1, "a"), (2, "b"), (3, None), (4, "a"), (5, "b"), (700, "a"), (701, "b"), (702, "c"), (2000, "b")]
+    rows = spark.createDataFrame([(9, i, s * 1_000_000, r) for i, (s, r) in enumerate(calls)], "key long, id long, us long, request string")
+    got = [r.outcome for r in admitted_jobs(rows, 1000, 3).orderBy("id").collect()]
+    assert got == ["created", "existing", "created", "created", "existing", "existing", "refused", "refused", "refused", "created"]
+    jobs, recent, want = {}, [], []
+    for s, r in calls:
+        jobs = {k: t for k, t in jobs.items() if s - t <= 600}
+        if r in jobs:
+            want.append("existing")
+            continue
+        recent, ok = limiter_step(recent, s, 1000, 3)
+        want.append("created" if ok else "refused")
+        if ok and r:
+            jobs[r] = s
+    assert got == want
