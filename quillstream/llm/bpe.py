@@ -41,6 +41,28 @@ _ASCII = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _FULL = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
+# The only normaliser, splitting and model that this module encodes for, as files state them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+FLAGS = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_format(spec: dict) -> None:
+    """Raises ValueError for a file that asks for anything else than this module does."""
+    flags = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    for name, found, known in (("normalizer", spec.get("normalizer"), NORMALIZER), ("pre_tokenizer", spec.get("pre_tokenizer"), SPLITTING), ("model", flags, FLAGS)):
+        if found != known:
+            raise ValueError(f"the vocabulary file has another {name}")
+    if spec.get("post_processor") or spec.get("decoder") or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("the vocabulary file has a post-processor, a decoder or added tokens of another kind")
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable, else the next from U+0100."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,6 +75,7 @@ class WordBpe:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        check_format(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}

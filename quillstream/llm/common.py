@@ -7,36 +7,23 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once per application, wherever the driver imported it from."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(), f"{package.name}_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for path in sorted(package.rglob("*.py")):
-            z.write(path, str(path.relative_to(package.parent)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+from quillstream.cluster import ship  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and
+    all run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="quillstream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = "file://" + own

@@ -7,9 +7,11 @@ The summed histogram tells the bin of each query's k-th value; the next pass ref
 one integer wide and the k-th value is known.  A last pass keeps scores at or above it; of those a task
 reports its k best by (score, id), so ties never gather, and one small ranking per query ends the work.
 
-Defined results: null ids, null vectors and vectors with null or non-finite components take no part; of rows
-that repeat an id one counts (the smallest vector); vectors are compared with vectors of equal length only;
-empty tables give empty results; a query with fewer than k candidates returns all.
+Defined results: null ids, null vectors and vectors with null or non-finite components take no part; rows that
+repeat an id all are candidates of other ids, and of a repeated query the best of all its rows count; vectors are
+compared with vectors of equal length only; components from 2**43 on, and sums of squares from 2**62 on, are refused
+with ValueError, since products must fit in 64 bits; empty tables give empty results; a query with fewer than k
+candidates returns all.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import materialize, ship
 
 QUERY_BLOCK = 1024
+#: Bounds of a whole component, where doubles are exact, and of a sum of squares, which bounds every product.
+MOST_COMPONENT, MOST_SQUARES = 2.0**51, 2.0**62
 BINS = 4096
 CHUNK = 1024
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, q (array<double> of floor(256 x)), dim; invalid vectors left out, one row per id."""
-    whole = F.floor(F.lit(256.0) * F.col("x"))
+    """id, q (array<double> of floor(256 x)), dim; invalid vectors left out."""
     ok = F.forall(
         F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
@@ -36,8 +39,6 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
         .select("id", F.transform("v", lambda x: F.floor(F.lit(256.0) * x).cast("double")).alias("q"))
-        .groupBy("id")
-        .agg(F.min("q").alias("q"))
         .withColumn("dim", F.size("q"))
     )
 
@@ -122,8 +123,13 @@ def topk_search(
     table = materialize(quantized(vectors, id_col, vec_col), "vectors")
     asked = table.filter(is_query(F.col("id")))
     shape = asked.groupBy("dim").count().collect()
-    norms = {r.dim: r.most for r in table.groupBy("dim").agg(
-        F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).collect()}
+    sizes = table.groupBy("dim").agg(
+        F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.max(F.array_max(F.transform("q", F.abs))).alias("large"))
+    norms = {}
+    for r in sizes.collect():
+        if r.dim > 0 and (r.large >= MOST_COMPONENT or r.most >= MOST_SQUARES):
+            raise ValueError("components are too large for exact 64-bit products")
+        norms[r.dim] = r.most
     parts = []
     for dim, n in ((r["dim"], r["count"]) for r in shape):
         n_blocks = -(-n // block)

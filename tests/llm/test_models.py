@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import ROWS, awkward, empty
 from pyspark.sql import functions as F
 
@@ -201,6 +202,36 @@ def test_mixing_equals_a_plain_loop(spark):
     assert np.allclose([x.rate for x in got], r, atol=1e-6)
 
 
+@pytest.mark.filterwarnings("ignore:targets are missed")
+def test_mixing_reaches_the_independent_optimum(spark):
+    """The objective of the rates against plain projected gradient with small steps; targets that can and cannot be met."""
+    df = corpus(spark, 60)
+    for targets, budget, low in (({"aa": 1, "bb": 3, "cc": 1}, None, 0.0), ({"aa": 1}, 4000.0, 0.0), ({"aa": 9, "bb": 1}, 2000.0, 0.5)):
+        got = M.mixing_rates(df, df, targets=targets, budget=budget, min_rate=low).collect()
+        p, t = np.array([r.posterior for r in got]), np.array([float(r.tokens) for r in got])
+        goal = np.array([targets.get(x, 0) for x in ("aa", "bb", "cc")], dtype=float)
+        goal *= (budget or t.sum()) / goal.sum()
+        inverse = np.linalg.inv((p * t[:, None]).T @ p)
+
+        def loss(r, p=p, t=t, goal=goal, inverse=inverse):
+            rest = goal - (r * t) @ p
+            return rest @ inverse @ rest
+
+        r = np.full(len(t), max(1.0, low))
+        for _ in range(60_000):
+            r = np.maximum(low, r + 0.4 * (p @ (inverse @ (goal - (r * t) @ p))))
+        mine = np.array([x.rate for x in got])
+        assert mine.min() >= low and loss(mine) <= loss(r) * (1 + 1e-3) + 1e-4
+
+
+def test_mixing_tells_what_it_misses(spark):
+    df = corpus(spark, 60)
+    with pytest.warns(UserWarning, match="targets are missed"):
+        M.mixing_rates(df, df, targets={"aa": 1, "bb": 1}, budget=100.0, min_rate=1.0)
+    with pytest.raises(ValueError, match="zz"):
+        M.mixing_rates(df, df, targets={"aa": 1, "zz": 1})
+
+
 def test_mixing_awkward(spark):
     assert M.mixing_rates(awkward(spark), awkward(spark)).count() == len(ROWS)
     assert M.mixing_rates(empty(spark), empty(spark)).collect() == []

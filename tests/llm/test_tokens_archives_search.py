@@ -1,9 +1,12 @@
 import hashlib
+import json
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import ROWS, awkward, empty
 from pyspark.sql import functions as F
@@ -132,16 +135,14 @@ def test_warc_reader_rejects_damage():
 
 
 def brute_topk(rows, k):
-    ok = {}
+    ok = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)
-            ok[i] = min(ok.get(i, q.tolist()), q.tolist())
+            ok.append((i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)))
     out = []
-    for i in ok:
-        if i % 50 == 0:
-            s = sorted((-int(np.dot(ok[i], ok[j])), j) for j in ok if j != i and len(ok[j]) == len(ok[i]))[:k]
-            out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s)]
+    for i in {i for i, _ in ok if i % 50 == 0}:
+        s = sorted((-int(np.dot(a, b)), j) for n, a in ok for j, b in ok if n == i and j != i and len(a) == len(b))[:k]
+        out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s)]
     return sorted(out)
 
 
@@ -157,4 +158,29 @@ def test_topk_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, VEC).withColumn("id", F.lit(1)).withColumn("q", F.lit(1))
     got = sorted(tuple(r) for r in S.topk_search(df, lambda c: F.pmod(c, F.lit(50)) == 0, 5, block=4).collect())
     assert got == brute_topk(rows, 5)
+    con = duckdb.connect()
+    same = [(i, v) for i, v in rows if v is not None and len(v) == 8]  # SQL has no rule for unequal lengths
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in same]), "embedding": pa.array([v for _, v in same], pa.list_(pa.float32()))}))
+    assert sorted(con.sql(S.ORACLE).fetchall()) == sorted(tuple(r) for r in S.op10_topk_search(spark.createDataFrame(same, VEC)).collect())
     assert S.op10_topk_search(df.limit(0)).collect() == []
+    for large in (1e17, 5e18, 1e300):
+        with pytest.raises(ValueError):
+            S.op10_topk_search(spark.createDataFrame([(0, [1.0]), (1, [large])], "vec_id long, embedding array<double>"))
+
+
+def test_bpe_refuses_other_files():
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"decoder": {"type": "ByteLevel"}}):
+        with pytest.raises(ValueError):
+            WordBpe(json.dumps(spec | change))
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": type("Context", (), {"master": "spark://host:7077"})()})()
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session)
