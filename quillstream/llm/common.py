@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -83,6 +85,12 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator
     yield batch.slice(start)
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine: idle workers are kept for later stages."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a column, null as the empty one."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import ship, slices, texts
+from quillstream.llm.common import ship, slices, texts, trim
 from quillstream.llm.shingles import mix, power_table
 
 #: Labelled rows of each label that a model is fitted on at most.
@@ -48,7 +48,7 @@ NEIGHBOURS = 16
 #: Terms in more than one of so many examples are frequent: their scores are products of matrices.
 DENSE = 16
 #: Examples of a block; clusters that the layout starts from; blocks scored before any is excluded; texts at once.
-BLOCK, CLUSTERS, FIRST, TEXTS = 64, 16, 4, 256
+BLOCK, CLUSTERS, FIRST, TEXTS = 64, 16, 4, 128
 #: More than the relative error of a cosine (a sum of non-negative products) in single precision.
 SLACK = 2.5e-4
 #: The least positive number here.
@@ -162,6 +162,7 @@ class ExampleIndex:
         """Build the postings and matrices, where the index is searched; the driver only ships it."""
         if not hasattr(self, "matrix"):
             self._build()
+            trim()
 
     @staticmethod
     def _layout(terms: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -434,6 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
         def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.left_out_votes(batch.column(0).to_pylist()), pa.float64())], names=["i", "vote"])
+            trim()
 
         n = len(model.ids)
         votes = spark.range(0, n, 1, max(1, min(-(-n // 500), spark.sparkContext.defaultParallelism))).mapInArrow(vote, "i long, vote double").collect()
@@ -460,6 +462,7 @@ def toxicity(
                 offsets = np.concatenate(([0], np.cumsum([len(g[2]) for g in got]))).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(ids), pa.array(np.concatenate([g[1] for g in got])), pa.array(labels)], names=["doc_id", "cosine", "toxic"])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "score", "evidence"])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(run, "id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
@@ -479,6 +482,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
         for whole in batches:
             for batch in slices(whole, at):
                 yield batch.filter(pa.array([s < threshold for s, _, _ in m.scores(texts(batch.column(at)))], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
