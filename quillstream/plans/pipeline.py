@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.config import AnswerConfig
+from quillstream.config import AnswerConfig, missing_settings
 from quillstream.operators import evidence, service
 from quillstream.sources import corpus
 
@@ -36,9 +37,12 @@ class MissingInput(RuntimeError):
     """A table or a setting that is needed isn't there."""
 
 
-def probe(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("documents", "labels", "embeddings", "benchmark")) -> dict[str, int]:
-    """Reads the schema and one row of each table; raises MissingInput with the names of those that can't be read."""
-    found, missing = {}, []
+def probe(
+    spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("documents", "labels", "embeddings", "benchmark"),
+    settings: tuple[str, ...] = (), values: Mapping[str, str] = os.environ,
+) -> dict[str, int]:
+    """Looks for the settings and reads one row of each table; raises MissingInput with the names of what isn't there."""
+    found, missing = {}, [f"{n}: not set" for n in missing_settings(list(settings), dict(values))]
     for name in tables:
         try:
             found[name] = len(corpus.table(spark, sf_dir, name).limit(1).collect())

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.config import AnswerConfig, HybridConfig, RetrievalConfig
+from quillstream.config import SHIPPED_ANSWER, SHIPPED_HYBRID, SHIPPED_RETRIEVAL, AnswerConfig, HybridConfig, RetrievalConfig
 from quillstream.operators import channels, dense, evidence, siblings, sparse
 from quillstream.sources import corpus
 
 #: Shipped settings with a keyword floor that suits short Latin texts, and an evidence budget that binds.
-HYBRID = HybridConfig(seed_top_k=10, dense_min_score=0.60, sparse_min_score=8.0)
-RETRIEVAL = RetrievalConfig(top_k=10)
-ANSWER = AnswerConfig(max_candidates=12, max_candidate_chars=700, max_context_chars=5000)
+HYBRID = replace(SHIPPED_HYBRID, sparse_min_score=8.0)
+RETRIEVAL = SHIPPED_RETRIEVAL
+ANSWER = replace(SHIPPED_ANSWER, max_candidates=12, max_candidate_chars=700, max_context_chars=5000)
 
 
 class Retrieval:
-    """Dense and sparse hits, floors, fusion, seeds, siblings, results, metrics and evidence of all questions."""
+    """Dense and sparse hits, floors, fusion, seeds, siblings, results, metrics and evidence of all questions.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, hybrid: HybridConfig = HYBRID, retrieval: RetrievalConfig = RETRIEVAL, answer: AnswerConfig = ANSWER):
-        self.spark, self.dir, self.hybrid, self.retrieval, self.config = spark, sf_dir, hybrid, retrieval, answer
+    ``embed`` maps (qid, question) to (qid, embedding); without it questions have the vectors that are stored for them.
+    """
+
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, hybrid: HybridConfig = HYBRID, retrieval: RetrievalConfig = RETRIEVAL, answer: AnswerConfig = ANSWER,
+        embed: Callable[[DataFrame], DataFrame] | None = None,
+    ):
+        self.spark, self.dir, self.hybrid, self.retrieval, self.config, self.embed = spark, sf_dir, hybrid, retrieval, answer, embed
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -29,7 +37,8 @@ class Retrieval:
 
     @cached_property
     def questions(self) -> DataFrame:
-        return corpus.questions(self.spark, self.dir)
+        asked = corpus.questions(self.spark, self.dir)
+        return asked if self.embed is None else asked.drop("embedding").join(self.embed(asked.select("qid", "question")).select("qid", "embedding"), "qid", "left")
 
     @cached_property
     def filters(self) -> DataFrame:

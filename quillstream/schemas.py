@@ -12,14 +12,6 @@ ZONES = (
 )
 IMAGE_TYPES = ("image/png", "image/jpeg", "image/webp", "image/gif")
 
-CHUNK = T.StructType([
-    T.StructField("chunk_id", T.StringType(), False), T.StructField("standard_id", T.StringType()), T.StructField("zone", T.StringType()),
-    T.StructField("chunk_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("contextualized_text", T.StringType()),
-    T.StructField("citation_label", T.StringType()), T.StructField("pdf_page_start", T.IntegerType()), T.StructField("pdf_page_end", T.IntegerType()),
-    T.StructField("search_priority", T.IntegerType()), T.StructField("part_index", T.IntegerType()), T.StructField("searchable", T.BooleanType()),
-    T.StructField("inactive", T.BooleanType()),
-])
-
 #: Columns of a chunk that travel with a search hit.
 PAYLOAD = ("standard_id", "zone", "chunk_type", "text", "contextualized_text", "citation_label", "pdf_page_start", "pdf_page_end", "search_priority")
 

@@ -109,6 +109,16 @@ def test_probe(spark, tmp_path):
     assert pipeline.probe(spark, DIR) == {"documents": 1, "labels": 1, "embeddings": 1, "benchmark": 1}
     with pytest.raises(pipeline.MissingInput, match="documents"):
         pipeline.probe(spark, str(tmp_path))
+    with pytest.raises(pipeline.MissingInput, match="KEY: not set"):
+        pipeline.probe(spark, DIR, settings=("NAME", "KEY"), values={"NAME": "x", "KEY": " "})
+
+
+def test_injected_embedding(spark):
+    """Each question gets the vector of one chunk, which then is its best hit."""
+    vectors = Retrieval(spark, DIR).spark.read.parquet(f"{DIR}/embeddings.parquet").select("embedding").first().embedding
+    r = Retrieval(spark, DIR, embed=lambda q: q.select("qid", F.array(*map(F.lit, vectors)).alias("embedding")))
+    best = r.dense_raw.filter("rank = 1").select("score").distinct().collect()
+    assert [round(x.score, 6) for x in best] == [1.0] and r.dense_raw.select("qid").distinct().count() == r.questions.count()
 
 
 def test_scan_topk_in_blocks_and_with_odd_vectors(spark, monkeypatch):
