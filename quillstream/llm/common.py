@@ -33,12 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame, tag: str) -> str:
+    """The path in the shared folder that a table is written to."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
 
 
 #: Rows of a table of ids that may be broadcast.

@@ -274,8 +274,26 @@ class Group:
         return out
 
 
-def _solve(pct: int, across: bool, k: int | None):
-    """Map function over rows (gid, p, q, side, id, label, n, data) sorted by group: the spanning pairs (a, b) of each group.
+    def links(self, pct: int, across: bool) -> list[tuple[int, int]]:
+        """All pairs of different ids, the smaller first, that reach the threshold; ``across`` as above."""
+        test = exact_test(self.sets, self.n, pct)
+        out: list[tuple[int, int]] = []
+        for i, j, fit in self.tiles(pct):
+            for r in np.nonzero(fit.any(axis=1))[0]:
+                me = i[r]
+                js = j[fit[r]]
+                js = js[self.ids[js] != self.ids[me]]
+                if across:
+                    js = js[self.sides[js] != self.sides[me]]
+                js = js[test(me, js)] if len(js) else js
+                a, b = np.minimum(self.ids[js], self.ids[me]), np.maximum(self.ids[js], self.ids[me])
+                out += zip(a.tolist(), b.tolist(), strict=True)
+        return out
+
+
+def _solve(pct: int, across: bool, k: int | None, every: bool = False):
+    """Map function over rows (gid, p, q, side, id, label, n, data) sorted by group: the spanning pairs (a, b) of each group,
+    or ``every`` link.
 
     ``data`` is a bitmap, or, with ``k``, a text of which the set is made.  A group is the only thing that is held.
     """
@@ -294,7 +312,8 @@ def _solve(pct: int, across: bool, k: int | None):
             bits = [bitmap(s, WIDE) for s in sets]
         else:
             bits = [np.frombuffer(x, dtype=np.uint64) for x in data]
-        return Group(np.array(ids), np.array(sizes), np.array(labels), np.array(sides), bits, sets).spanning(pct, across)
+        met = Group(np.array(ids), np.array(sizes), np.array(labels), np.array(sides), bits, sets)
+        return met.links(pct, across) if every else met.spanning(pct, across)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, None
@@ -402,6 +421,31 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: s
 
     Two texts link when 100 * intersection >= pct * union of their distinct ``words``-word shingles.
     """
+    return _join(docs, words, pct, id_col, text_col, block)[0]
+
+
+def ngram_jaccard_links(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, of all different sets that link, by the smallest ids that hold them, and the membership
+    (id_col, n_shingles, set_id, component_id).
+
+    A family of m near copies has up to m (m - 1) / 2 links, all of which are listed; the join above lists none.
+    """
+    member, _, clusters, with_text, k = _join(docs, words, pct, id_col, text_col, block)
+    parted = materialize(_parted(clusters, block, BLOCK_ELEMENTS), "link-members")
+    zero = F.lit(0)
+    dealt = parted.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))  # each part meets each
+    rows = dealt.select("gid", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.col("part").alias("side"), "id", F.col("id").alias("label"))
+
+    def solved(some: DataFrame, across: bool) -> DataFrame:
+        ready = with_text(some).select("gid", "p", "q", "side", "id", "label", "n", "data")
+        return ready.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInArrow(_solve(pct, across, k, True), _PAIR)
+
+    links = solved(rows.filter("p = q"), False).unionByName(solved(rows.filter("p < q"), True)).distinct()
+    return materialize(links, "links"), member
+
+
+def _join(docs: DataFrame, words: int, pct: int, id_col: str, text_col: str, block: int) -> tuple:
+    """The join's result, and what it was made from: candidate pairs, clusters, texts by id, the shingle size."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     passed = materialize(rows.mapInArrow(_digests(words), "id long, n long, d1 long, d2 long, bucket int"), "digests")
@@ -439,9 +483,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, pct: int = 80, id_col: s
     same = held.join(member.select("id", "set_id"), "id").filter("lo < set_id").select(F.col("lo").alias("a"), F.col("set_id").alias("b"))
     joined = components(links.unionByName(same))
 
-    return member.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+    out = member.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "set_id").alias("component_id")
     )
+    return out, near, clusters, with_text, words
 
 
 def op1_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact top-k search by distributed histogram selection.
 
-Queries are handled in blocks of a fixed number of vectors, the only thing that is broadcast.  For a block
+Queries are handled in blocks of a fixed number of vectors, the only thing that is broadcast; the hits of a block
+are written before the next one, so the last plan is one scan, however many blocks there were.  For a block
 every candidate is scored (one matrix product per Arrow batch); each task keeps a histogram of its scores and
 reports, per query, only the bins that hold its own k best, as nothing below them can decide the k-th value.
 The summed histogram tells the bin of each query's k-th value; the next pass refines that bin, until bins are
@@ -21,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialize, ship
+from quillstream.llm.common import materialize, ship, written
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
+#: Entries of a task's histograms: a block of few queries has finer bins, of many queries coarser ones and more passes.
+CELLS = 1 << 21
 #: Bounds of a whole component, where doubles are exact, and of a sum of squares, which bounds every product.
 MOST_COMPONENT, MOST_SQUARES = 2.0**51, 2.0**62
-BINS = 4096
-CHUNK = 1024
+MOST_BINS = 4096
+#: Entries of a score matrix.
+SCORES = 1 << 20
+HITS = "query_id long, vec_id long, score long"
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -55,19 +60,19 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries.astype(np.int64) @ rows.astype(np.int64).T
 
 
-def _histograms(ids, q, lo, width, k, dim):
+def _histograms(ids, q, lo, width, k, dim, bins):
     """Map function: (query, bin, n) for the highest bins that hold a task's k best."""
 
     def run(batches):
-        hist = np.zeros((len(ids), BINS + 1), dtype=np.int64)
+        hist, chunk = np.zeros((len(ids), bins + 1), dtype=np.int64), max(16, SCORES // len(ids))
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
                 own = part.column(0).to_numpy()
                 s = _scores(q, _matrix(part.column(1), dim))
-                b = np.minimum((s - lo[:, None]) // width[:, None], BINS)
+                b = np.minimum((s - lo[:, None]) // width[:, None], bins)
                 use = (b >= 0) & (own[None, :] != ids[:, None])
-                flat = (b + np.arange(len(ids))[:, None] * (BINS + 1))[use]
+                flat = (b + np.arange(len(ids))[:, None] * (bins + 1))[use]
                 hist += np.bincount(flat, minlength=hist.size).reshape(hist.shape)
         above = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1] - hist
         i, j = np.nonzero((hist > 0) & (above < k))
@@ -82,10 +87,10 @@ def _best(ids, q, least, k, dim):
     """Map function: each query's k best rows of a task, of those that score at least its bound."""
 
     def run(batches):
-        found = [np.empty((0, 2), dtype=np.int64) for _ in ids]
+        found, chunk = [np.empty((0, 2), dtype=np.int64) for _ in ids], max(16, SCORES // len(ids))
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
                 own = part.column(0).to_numpy()
                 s = _scores(q, _matrix(part.column(1), dim))
                 use = (s >= least[:, None]) & (own[None, :] != ids[:, None])
@@ -130,7 +135,7 @@ def topk_search(
         if r.dim > 0 and (r.large >= MOST_COMPONENT or r.most >= MOST_SQUARES):
             raise ValueError("components are too large for exact 64-bit products")
         norms[r.dim] = r.most
-    parts = []
+    paths = []
     for dim, n in ((r["dim"], r["count"]) for r in shape):
         n_blocks = -(-n // block)
         rows = table.filter(F.col("dim") == dim).select("id", "q")
@@ -143,24 +148,23 @@ def topk_search(
             q = np.array([r.q for r in got], dtype=np.float64).reshape(len(got), dim)
             bound = np.sqrt((q * q).sum(axis=1) * norms[dim]) + 1
             lo = -np.ceil(bound).astype(np.int64)
-            width = np.maximum(1, -(-(2 * -lo + 2) // BINS))
+            bins = max(min(CELLS // len(ids), MOST_BINS), 2)
+            width = np.maximum(1, -(-(2 * -lo + 2) // bins))
             kth: dict[int, int] = {}
             while True:
-                run = _histograms(ids, q, lo, width, k, dim)
+                run = _histograms(ids, q, lo, width, k, dim, bins)
                 kth = _kth(rows.mapInArrow(run, "qi int, bin int, n long"), k)
                 step = np.array([kth.get(i, 0) for i in range(len(ids))])
-                # bin BINS holds what lies beyond the refined range; the k-th value is never there once inside
+                # the last bin holds what lies beyond the refined range; the k-th value is never there once inside
                 lo = lo + step * width
                 if width.max() == 1:
                     break
-                width = np.maximum(1, -(-width // BINS))
+                width = np.maximum(1, -(-width // bins))
             least = np.array([lo[i] if i in kth else np.iinfo(np.int64).min for i in range(len(ids))])
-            parts.append(rows.mapInArrow(_best(ids, q, least, k, dim), "query_id long, vec_id long, score long"))
-    if not parts:
+            paths.append(written(rows.mapInArrow(_best(ids, q, least, k, dim), HITS), "hits"))
+    if not paths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    hits = spark.read.schema(HITS).parquet(*paths)  # one scan, however many blocks there were
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

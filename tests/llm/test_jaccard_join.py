@@ -93,6 +93,21 @@ def test_two_near_families_give_as_many_links_as_sets(spark):
         assert got == brute(rows, 4, 85)
 
 
+def test_all_links_between_different_sets(spark):
+    rng = random.Random(12)
+    texts = [t for _ in range(4) for t in family(rng, 8)] + ["a b c d", "A B c d", "x"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 4) for t in texts]
+    first = [next(j for j, s in enumerate(sets) if s == x) for x in sets]
+    want = {(a, b) for a in set(first) for b in set(first) if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    for block in (2048, 3):
+        links, member = J.ngram_jaccard_links(df, 4, 85, block=block)
+        got = [(r.a, r.b) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        assert {r.doc_id: r.set_id for r in member.collect()} == dict(enumerate(first))
+
+
 def test_keys_that_meet_over_batches():
     rng = np.random.default_rng(2)
     rows = sorted({(int(k), int(i)) for k, i in zip(rng.integers(0, 60, 900), rng.integers(0, 300, 900), strict=True)} | {(7, i) for i in range(200)})

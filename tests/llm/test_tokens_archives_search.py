@@ -150,7 +150,7 @@ VEC = "vec_id long, embedding array<float>"
 
 
 def test_topk_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(S, "BINS", 16)
+    monkeypatch.setattr(S, "MOST_BINS", 16)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 460)]  # ties
