@@ -1,10 +1,13 @@
 """Secret scans: base patterns, and an assignment-aware lexer on top of them.
 
-Base spans are three fixed patterns.  The lexer reads source and configuration syntax (``name = literal``,
-``"name": "literal"``, ``export NAME=literal``, ``name => literal``, XML-like attributes), resolves names to the
-literals last assigned to them, joins ``"a" + "b"``, and scores each literal by how sensitive the target name
-is, its length, its mix of characters and its entropy.  Literals over the threshold that no base span covers
-wholly are added as spans of kind ``literal``.
+Base spans are three fixed patterns.  The lexer reads source and configuration syntax into pairs of a name and a
+literal: a scan finds targets (``name =``, ``"name":``, ``export NAME=``, ``name =>``, ``name: type =``, XML-like
+attributes), and from each an expression is read token by token: strings with escapes and prefixes, triple-quoted
+strings, block scalars of YAML, parentheses, ``+`` and adjacent strings, lines that go on, comments between parts,
+and names.  A name stands for the literals last assigned to it; one that nothing was assigned to, a call and a
+subscript are no literals.  Each literal is scored by how sensitive the target name is, its length, its mix of
+characters and its entropy.  Literals over the threshold that base spans don't cover wholly are added as spans of
+kind ``literal``.
 
 All scanning is on the UTF-8 bytes of a whole text; offsets are then counted in code points.  A text without a
 keyword, an assignment operator or a long hex run costs a few substring searches.
@@ -14,6 +17,7 @@ Defined results: null and empty texts have no spans; every input row has one out
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -50,8 +54,16 @@ LEX = re.compile(
     + rb"""(?:(?:[ \t]*+:[ \t]*+|[ \t]++)(?P<also>[A-Za-z_&*\[][\w.\-&*\[\]<>|?]*+)%b|[ \t]*+(?::=|=>|[:=](?![=:]))[ \t]*+)""" % TYPED,
     re.ASCII,
 )
-LITERAL = re.compile(rb""""(?P<dq>(?:[^"\n\\]|\\[^\n])*+)"|'(?P<sq>(?:[^'\n\\]|\\[^\n])*+)'|(?P<bare>[^\s"',;(){}\[\]<>]++)""", re.ASCII)
-PLUS = re.compile(rb"[ \t]*+\+[ \t]*+(?=[\"'])")
+#: What may stand between the parts of an expression: on a line, and inside parentheses or after a sign.
+BLANK = re.compile(rb"(?:[ \t]++|\\\r?\n)*+")
+WIDE_BLANK = re.compile(rb"(?:\s++|\\\r?\n|#[^\n]*+|//[^\n]*+)*+")
+PREFIX = re.compile(rb"(?:[rRbBuUfF]{1,2}(?=[\"']))?+")
+QUOTED = re.compile(rb""""(?:[^"\n\\]|\\[^\n])*+"|'(?:[^'\n\\]|\\[^\n])*+'|`[^`\n]*+`""")
+BARE = re.compile(rb"""[^\s"'`,;(){}\[\]<>]++""")
+WORD = re.compile(rb"[A-Za-z_][\w.]*+", re.ASCII)
+JOINS = re.compile(rb"[ \t]*+\+(?![+=])|[(\[]")
+BLOCK_MARK = re.compile(rb"[|>][-+0-9]*+[ \t]*+(?:#[^\n]*+)?\r?\n")
+LINE = re.compile(rb"([ \t]*+)([^\n]*+)(?:\n|\Z)")
 _HEXMAP = np.zeros(256, dtype=bool)
 _HEXMAP[list(b"0123456789abcdef")] = True
 
@@ -96,42 +108,129 @@ def literal_score(name_weight: float, literal: bytes) -> float:
     return name_weight * min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.4)
 
 
+class Value(NamedTuple):
+    """The literals of an expression, where they are, and where it ends."""
+
+    text: bytes
+    spans: list[tuple[int, int]]
+    end: int
+
+
+Constants = dict[bytes, tuple[bytes, list[tuple[int, int]]]]
+
+
+def block_scalar(data: bytes, at: int, line_start: int) -> Value:
+    """The lines from ``at`` on that are indented more than the line of the name; blank lines are part of it."""
+    base = len(data[line_start:at]) - len(data[line_start:at].lstrip(b" \t-"))
+    spans: list[tuple[int, int]] = []
+    while at < len(data) and (m := LINE.match(data, at)):
+        if m[2].strip() and len(m[1]) <= base:
+            break
+        if body := m[2].rstrip():
+            spans.append((m.start(2), m.start(2) + len(body)))
+        at = m.end()
+    return Value(b"".join(data[a:b] for a, b in spans), spans, at)
+
+
+def string_at(data: bytes, at: int) -> tuple[int, int, int] | None:
+    """(start, end) of the inside of a quoted string at a position, and where the string ends."""
+    at = PREFIX.match(data, at).end()
+    for quotes in (b'"""', b"'''"):
+        if data.startswith(quotes, at) and (end := data.find(quotes, at + 3)) >= 0:
+            return at + 3, end, end + 3
+    m = QUOTED.match(data, at)
+    return (m.start() + 1, m.end() - 1, m.end()) if m else None
+
+
+def expression(data: bytes, at: int, constants: Constants) -> Value:
+    """The literals of the expression that begins at a position."""
+    parts: list[bytes] = []
+    spans: list[tuple[int, int]] = []
+    depth, after_sign, end = 0, False, at
+    while True:
+        at = (WIDE_BLANK if depth or after_sign else BLANK).match(data, at).end()
+        if data.startswith(b"(", at) and (after_sign or not parts):
+            depth, at = depth + 1, at + 1
+            continue
+        if found := string_at(data, at):
+            parts.append(data[found[0] : found[1]])
+            spans.append(found[:2])
+            at = end = found[2]
+        elif (not parts or after_sign) and (m := BARE.match(data, at)):
+            word = WORD.match(data, at)
+            joined = word and JOINS.match(data, word.end())
+            if word and word[0] in constants and (joined or word.end() == m.end()):
+                at = end = word.end()
+                value, known = constants[word[0]]
+                parts.append(value)
+                spans += known
+            elif word and (joined or after_sign):  # a name without a value, a call or a subscript
+                at = end = word.end()
+                parts.append(b"")
+            else:
+                at = end = m.end()
+                parts.append(m[0])
+                spans.append(m.span())
+        else:
+            break
+        at = (WIDE_BLANK if depth else BLANK).match(data, at).end()
+        while depth and data.startswith(b")", at):
+            depth, at = depth - 1, at + 1
+            end = at
+            at = (WIDE_BLANK if depth else BLANK).match(data, at).end()
+        after_sign = data.startswith(b"+", at) and not data.startswith((b"++", b"+="), at)
+        if after_sign:
+            at += 1
+        elif not string_at(data, at):
+            break
+    return Value(b"".join(parts), spans, max(end, at if not parts else end))
+
+
 def lexed_spans(data: bytes) -> list[Span]:
     """Spans of the literals whose target, or a name they flow to, is sensitive."""
-    constants: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
+    constants: Constants = {}
     out = []
     end = 0
     while m := LEX.search(data, end):
         names = [n for n in (m["qname"] or m["sname"] or m["name"], m["also"]) if n]
-        if not (part := LITERAL.match(data, m.end())):
-            end = m.end()
+        if mark := BLOCK_MARK.match(data, m.end()):
+            value = block_scalar(data, mark.end(), data.rfind(b"\n", 0, m.start()) + 1)
+        else:
+            value = expression(data, m.end(), constants)
+        end = max(value.end, m.end())
+        if not value.spans:
+            for n in names:
+                constants.pop(n, None)
             continue
-        end = part.end()
-        group = part.lastgroup
-        value, spans = part[group], [part.span(group)]
-        if group == "bare" and value in constants:
-            value, spans = constants[value]
-        parts, more = [value], []
-        while (plus := PLUS.match(data, end)) and (part := LITERAL.match(data, plus.end())):
-            end = part.end()
-            parts.append(part[part.lastgroup])
-            more.append(part.span(part.lastgroup))
-        value, spans = b"".join(parts), spans + more
-        constants.update((n, (value, spans)) for n in names)
-        if (w := max(sensitivity(n.decode()) for n in names)) and literal_score(w, value) >= THRESHOLD:
-            out += [Span(a, 3, b) for a, b in spans if b > a]
+        constants.update((n, (value.text, value.spans)) for n in names)
+        if (w := max(sensitivity(n.decode()) for n in names)) and literal_score(w, value.text) >= THRESHOLD:
+            out += [Span(a, 3, b) for a, b in value.spans if b > a]
     return out
 
 
+def uncovered(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that the union of the base spans doesn't cover wholly."""
+    joined_up: list[list[int]] = []
+    for s in sorted(base):
+        if joined_up and s.start <= joined_up[-1][1]:
+            joined_up[-1][1] = max(joined_up[-1][1], s.end)
+        else:
+            joined_up.append([s.start, s.end])
+    starts = [a for a, _ in joined_up]
+
+    def covered(s: Span) -> bool:
+        i = bisect.bisect_right(starts, s.start) - 1
+        return i >= 0 and s.end <= joined_up[i][1]
+
+    return [s for s in spans if not covered(s)]
+
+
 def scan(data: bytes) -> list[Span]:
     """All spans of a text's UTF-8 bytes, in code points, by start and kind."""
     base = base_spans(data)
     extra = []
     if b"=" in data or b":" in data:
-        covered = sorted((s.start, s.end) for s in base)
-        for s in dict.fromkeys(lexed_spans(data)):
-            if not any(a <= s.start and s.end <= b for a, b in covered):
-                extra.append(s)
+        extra = uncovered(list(dict.fromkeys(lexed_spans(data))), base)
     spans = base + extra
     if spans and not data.isascii():
         starts = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
