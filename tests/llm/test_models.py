@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import ROWS, awkward, empty
 from pyspark.sql import functions as F
@@ -38,6 +39,93 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_frequencies_and_features_against_plain_counts():
+    rng = random.Random(5)
+    rows = [words(rng, ALPHABETS[rng.choice(list(ALPHABETS))], 8) + rng.choice(["", "!  12\n", " Ä-b "]) for _ in range(40)] + ["", "123"]
+
+    def grams(text):
+        clean = " " + re.sub(r"[^a-zßàáäéüxy]+", " ", text.lower()).strip() + " " if re.search("[a-zßàáäéü]", text.lower()) else ""
+        if clean and not text.lower()[-1].isalpha():
+            pass  # what follows the last letter is one blank
+        elif clean:
+            clean = clean[:-1]
+        return Counter(clean[i : i + n] for n in L.SIZES for i in range(len(clean) - n + 1))
+
+    names = {}
+    df = np.zeros(L.BUCKETS, dtype=np.int64)
+    for text in rows:
+        want, got = grams(text), dict(zip(*(x.tolist() for x in L.features(text)), strict=True))
+        by_bucket = Counter()
+        for g, n in want.items():
+            if g not in names:
+                names[g] = int(np.nonzero(_only(g))[0][0])
+            by_bucket[names[g]] += n
+        assert got == dict(by_bucket)
+        df += np.bincount(list(by_bucket), minlength=L.BUCKETS)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])
+    out = {r["bucket"]: r["n"] for b in L._frequencies(iter([batch])) for r in b.to_pylist()}
+    assert out.pop(-1) == len(rows) and out == {int(i): int(df[i]) for i in np.nonzero(df)[0]}
+
+
+def _only(gram):
+    """The bucket of one n-gram: the counts of its code points less those of its shorter n-grams."""
+    codes = np.array([ord(c) for c in gram], dtype=np.uint32)
+    inner = sum((_only(gram[i : i + n]) for n in L.SIZES if n < len(gram) for i in range(len(gram) - n + 1)), np.zeros(L.BUCKETS, dtype=np.int64))
+    return L.counts(codes) - inner
+
+
+def test_training_against_a_plain_loop():
+    """Follow the regularised leader, one coordinate at a time."""
+    rng = random.Random(6)
+    rows = [(lang, *L.features(words(rng, ALPHABETS[lang], 5))) for lang in ALPHABETS for _ in range(12)]
+    df = np.bincount(np.concatenate([i for _, i, _ in rows]), minlength=L.BUCKETS)
+    model = L.LanguageModel(rows, df, len(rows))
+    langs, draw = sorted(ALPHABETS), np.random.default_rng(7)
+    feats = []
+    for lang, idx, count in rows:
+        x = {int(i): (1 + np.log(c)) * (np.log((len(rows) + 1) / (df[i] + 1)) + 1) for i, c in zip(idx, count, strict=True)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        feats.append(({i: v / norm for i, v in x.items()}, langs.index(lang)))
+    train = draw.permutation(len(feats))[len(feats) // 5 :]
+    z, n = Counter(), Counter()
+
+    def weight(i, y):
+        if abs(z[i, y]) <= L.L1:
+            return 0.0
+        return -(z[i, y] - np.sign(z[i, y]) * L.L1) / ((L.BETA + n[i, y] ** 0.5) / L.ALPHA + L.L2)
+
+    for _ in range(L.EPOCHS):
+        for r in draw.permutation(train):
+            x, y = feats[r]
+            w = {(i, c): weight(i, c) for i in x for c in range(len(langs))}
+            score = [sum(v * w[i, c] for i, v in x.items()) for c in range(len(langs))]
+            e = np.exp(np.array(score) - max(score))
+            p = e / e.sum()
+            for i, v in x.items():
+                for c in range(len(langs)):
+                    g = v * (p[c] - (c == y))
+                    sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / L.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    got = {(i, c): model.weights[i, c] for i, c in zip(*np.nonzero(model.weights), strict=True)}
+    want = {k: weight(*k) for k in z if weight(*k)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_jobs_of_a_fit_do_not_depend_on_languages(spark):
+    rng = random.Random(7)
+    counted = []
+    for n in (2, 12):
+        rows = [(i, words(rng, "abcdefgh", 6), f"l{i % n}", "s", 1) for i in range(120)]
+        df = spark.createDataFrame(rows, DOC)
+        spark.sparkContext.setJobGroup(f"fit{n}", "")
+        model = L.fit(df)
+        counted.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit{n}")))
+        assert len(model.languages) == n
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counted[0] == counted[1]
+
+
 def test_language_awkward(spark):
     got = {(r.doc_id, r.lang_pred) for r in L.op8_language_id(awkward(spark)).collect()}
     assert {(3, "und"), (4, "und"), (7, "und"), (11, "und")} <= got
