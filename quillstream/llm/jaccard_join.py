@@ -347,10 +347,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _parted(members: DataFrame, block: int, elements: int) -> DataFrame:
-    """(gid, id, n) with ``parts``, as many as its sets and elements ask for, and the ``part`` of each row."""
+    """(gid, id, n) with ``parts``, as many as its sets and elements ask for, and the ``part`` of each row.
+
+    Only groups of several parts are looked up, so members of a large group aren't gathered for it.
+    """
+    members = materialize(members, "members")
     size = members.groupBy("gid").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
     parts = F.greatest(F.ceil(F.col("rows") / F.lit(block)), F.ceil(F.col("elements") / F.lit(elements)), F.lit(1)).cast("int")
-    return members.join(size.select("gid", parts.alias("parts")), "gid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    large = materialize(size.select("gid", parts.alias("parts")).filter("parts > 1"), "large")
+    out = members.join(F.broadcast(large) if few(large) is not None else large, "gid", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return out.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
 def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame], pct: int, tag: str, k: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -366,9 +372,9 @@ def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame],
 
     zero = F.lit(0)
     most_elements = BLOCK_ELEMENTS * (1 if k else 64 // (2 * NARROW))  # as many bytes of sets or of bitmaps
-    parted = materialize(_parted(members, block, most_elements), f"{tag}-members")
+    parted = _parted(members, block, most_elements)
     pairs = solved(parted.select("gid", F.col("part").alias("p"), zero.alias("q"), zero.alias("side"), "id", F.col("id").alias("label")), False, "parts")
-    several = parted.filter("parts > 1").select("gid", "id", "n")
+    several = parted.filter("parts > 1").select("gid", "id", "n")  # of the written members and large groups
     if several.isEmpty():
         return pairs
 
@@ -431,7 +437,7 @@ def ngram_jaccard_links(docs: DataFrame, words: int = 5, pct: int = 80, id_col:
     A family of m near copies has up to m (m - 1) / 2 links, all of which are listed; the join above lists none.
     """
     member, _, clusters, with_text, k = _join(docs, words, pct, id_col, text_col, block)
-    parted = materialize(_parted(clusters, block, BLOCK_ELEMENTS), "link-members")
+    parted = _parted(clusters, block, BLOCK_ELEMENTS)
     zero = F.lit(0)
     dealt = parted.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))  # each part meets each
     rows = dealt.select("gid", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.col("part").alias("side"), "id", F.col("id").alias("label"))
