@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.cluster import ship  # noqa: F401
@@ -71,6 +71,22 @@ def met(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
+#: Parts that a key's rows are dealt to before its lowest are found.
+SALTS = 64
+
+
+def lowest(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Of each value of ``key`` the ``k`` rows (id, …) of lowest hash of the id.
+
+    Tasks keep k rows of a key and salt, then salts do, so the last step has SALTS * k rows of a key at most.
+    """
+    hashed = [F.xxhash64("id"), F.col("id")]
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS))
+    for by in ([F.col(key), salt], [F.col(key)]):
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*hashed))).filter(F.col("_place") <= k).drop("_place")
+    return rows
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

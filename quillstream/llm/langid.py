@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import ship, slices, texts
+from quillstream.llm.common import lowest, ship, slices, texts
 from quillstream.llm.toxicity import remainder
 
 BUCKETS = 1 << 14
@@ -173,10 +173,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
             df[r.bucket] = r.n
     n_docs = next((r.n for r in total if r.bucket < 0), 0)
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    # each task keeps the lowest of each language before rows are shuffled
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    lowest = rows.select("id", "lang").withColumn("place", place).filter(F.col("place") <= per_language).filter(F.col("lang").isin(langs)).select("id").distinct()
-    picked = docs.sparkSession.createDataFrame(lowest.collect(), "id long")  # LANGUAGES * per_language rows at most
+    sample = lowest(rows.select("id", "lang").filter(F.col("lang").isin(langs)), "lang", per_language).select("id").distinct()
+    picked = docs.sparkSession.createDataFrame(sample.collect(), "id long")  # LANGUAGES * per_language rows at most
     chosen = rows.join(F.broadcast(picked), "id").filter(F.col("lang").isin(langs)).select("id", "lang", "text")
     got = chosen.mapInArrow(_features, "id long, lang string, i binary, c binary").collect()
     examples = sorted((r.id, r.lang, bytes(r.i), bytes(r.c)) for r in got)

@@ -30,7 +30,7 @@ from quillstream.llm import langid
 from quillstream.llm.common import materialize, ship, slices, texts
 
 #: Steps at most; a share of the budget that counts as met or as no change, and one that is worth a warning.
-STEPS, TOLERANCE, MISSED = 60, 1e-6, 1e-3
+STEPS, TOLERANCE, MISSED = 25, 1e-6, 1e-3
 #: Targets are proportional to the present shares to this power unless given.
 POWER = 0.7
 

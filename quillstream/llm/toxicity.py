@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import ship, slices, texts, trim
+from quillstream.llm.common import lowest, ship, slices, texts, trim
 from quillstream.llm.shingles import mix, power_table
 
 #: Labelled rows of each label that a model is fitted on at most.
@@ -424,8 +424,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
         .groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     )
     count = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
-    picked = spark.createDataFrame([(r.id, r.y) for c in chosen for r in c.collect()], "id long, y int")  # 2 * per_label rows at most
+    picked = spark.createDataFrame(lowest(marked, "y", per_label).select("id", "y").collect(), "id long, y int")  # 2 * per_label rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
     got = rows.mapInArrow(_features, "id long, y int, h binary, c binary").toLocalIterator()
     model = ToxicityModel(((r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype=np.int32)) for r in got), (count.get(0, 0), count.get(1, 0)))

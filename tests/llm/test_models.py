@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import langid as L
 from quillstream.llm import mixing as M
 from quillstream.llm import toxicity as T
+from quillstream.llm.common import lowest
 
 ALPHABETS = {"aa": "abcde", "bb": "cdefg", "cc": "ßéüxy"}
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -126,6 +127,14 @@ def test_jobs_of_a_fit_do_not_depend_on_languages(spark):
     assert counted[0] == counted[1]
 
 
+def test_lowest_hashes_of_a_key(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("k")).withColumn("h", F.xxhash64("id"))
+    rows = df.collect()
+    got = {(r.k, r.id) for r in lowest(df, "k", 100).collect()}
+    want = {(k, r.id) for k in {r.k for r in rows} for r in sorted((r for r in rows if r.k == k), key=lambda r: (r.h, r.id))[:100]}
+    assert got == want
+
+
 def test_language_awkward(spark):
     got = {(r.doc_id, r.lang_pred) for r in L.op8_language_id(awkward(spark)).collect()}
     assert {(3, "und"), (4, "und"), (7, "und"), (11, "und")} <= got
