@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import ship, slices, texts
 
 END = "</w>"
-#: Words, and pair verdicts, that a worker keeps at most.
-CACHE = 500_000
+#: Words, and pair verdicts, that a worker keeps at most, and about the bytes of its words.
+CACHE, CACHE_BYTES = 500_000, 96 << 20
 NEVER = 1 << 30
 # White space, and the contractions that the vocabulary's splitting pattern names.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -86,6 +86,7 @@ class WordBpe:
         self.prefixes = {t[:i]: -1 for t in self.vocab for i in range(1, len(t))} | self.vocab
         self.chars = byte_chars()
         self.words: dict[str, bytes] = {}
+        self.held = 0  # bytes of the words and their ids, about
         self.pair_keys = np.empty(0, dtype=np.uint64)
         self.pair_ok = np.empty(0, dtype=bool)
 
@@ -202,6 +203,7 @@ class WordBpe:
             else:
                 n_exact += 1
                 self.words[w] = np.array([self.vocab[t] for t in self.merged(s)], dtype="<u4").tobytes()
+        self.held += sum(map(len, words)) + 4 * len(flat) + 150 * len(words)
         return n_exact
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
@@ -220,8 +222,9 @@ class WordBpe:
             words = self.split(text)
             new.update(set(words).difference(cache))
             parts.append(words)
-        if len(cache) + len(new) > CACHE:
+        if len(cache) + len(new) > CACHE or self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
             for words in parts:
                 for w in words:
                     new.update([w] if isinstance(w, str) else w if isinstance(w, list) else [])

@@ -52,9 +52,10 @@ def test_bpe_both_paths_are_used(both):
         assert mine.words[w] == np.array([mine.vocab[t] for t in mine.merged(mine.symbols(w))], dtype="<u4").tobytes()
 
 
-def test_bpe_cache_overflow(both, monkeypatch):
+@pytest.mark.parametrize("bound", ["CACHE", "CACHE_BYTES"])
+def test_bpe_cache_overflow(both, monkeypatch, bound):
     mine, lib = both
-    monkeypatch.setattr("quillstream.llm.bpe.CACHE", 20)
+    monkeypatch.setattr(f"quillstream.llm.bpe.{bound}", 20)
     texts = [" ".join(f"w{i}x{j}" for j in range(9)) + "<|endoftext|>z" for i in range(30)]
     for a in range(0, 30, 3):
         for t, g in zip(texts[a : a + 3], mine.encode_batch(texts[a : a + 3]), strict=True):
