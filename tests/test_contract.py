@@ -168,3 +168,27 @@ def test_stored_history(spark):
     got = contract.stored_history(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "client long, value string"))
     n = {r.client: r.n for r in got.groupBy("client").agg(F.count("*").alias("n")).collect()}
     assert n == {0: 1, 4: 30}
+
+
+def test_empty_tables_nulls_and_further_columns(spark):
+    """Empty inputs give empty results; null ids and scores are dropped by floors and seeds; columns beyond those named are ignored."""
+    from quillstream.operators import channels, siblings
+
+    hits = spark.createDataFrame([(1, "A", 0.9, 1), (1, None, 0.8, 2), (1, "B", None, 3), (2, " ", float("nan"), 1)], "qid long, chunk_id string, score double, rank long")
+    wide = hits.withColumn("channel", F.lit("x")).withColumn("pos", F.lit(1)).withColumn("at", F.lit(0)).withColumn("payload", F.lit("y"))
+    none = hits.limit(0)
+    config = HybridConfig()
+    assert [(r.qid, r.chunk_id) for r in channels.above(wide, 0.5).orderBy("rank").collect()] == [(1, "A"), (1, None)]
+    fused = channels.fuse(wide, wide, config)
+    assert fused.count() == 4 and channels.fuse(none, none, config).collect() == []
+    seeds = siblings.seeds(channels.top_fused(channels.fuse(wide, none, config), 10))
+    assert sorted(r.chunk_id for r in seeds.collect()) == ["A", "B"]
+    edges = spark.createDataFrame([("A", "P"), ("C", "P"), (None, "P"), ("D", None)], "chunk_id string, paragraph_id string").withColumn("seed_rank", F.lit(9))
+    chunks = spark.createDataFrame([("A", "1", "z", True, 1), ("C", None, None, True, None), ("D", "1", "z", None, 1)], "chunk_id string, standard_id string, zone string, searchable boolean, part_index int").withColumn("qid", F.lit(5))
+    found = siblings.siblings(seeds, edges.select("chunk_id", "paragraph_id"), chunks, 8)
+    assert [(r.qid, r.chunk_id) for r in found.collect()] == [(1, "C")]
+    assert siblings.siblings(seeds.limit(0), edges.select("chunk_id", "paragraph_id"), chunks, 8).collect() == []
+    rows = siblings.interleave(seeds.limit(0), found.limit(0)).withColumn("text", F.lit("t")).withColumn("item", F.lit(1))
+    assert evidence.catalog(evidence.candidates(rows, AnswerConfig()), AnswerConfig()).collect() == []
+    blank = spark.createDataFrame([(1, None)], "qid long, model_output string").withColumn("error", F.lit("x"))
+    assert evidence.parse_payload(blank).first().error == "empty output"
