@@ -48,7 +48,7 @@ NEIGHBOURS = 16
 #: Terms in more than one of so many examples are frequent: their scores are products of matrices.
 DENSE = 16
 #: Examples of a block; clusters that the layout starts from; blocks scored before any is excluded; texts at once.
-BLOCK, CLUSTERS, FIRST, TEXTS = 64, 16, 4, 128
+BLOCK, CLUSTERS, FIRST, TEXTS = 64, 16, 4, 256
 #: More than the relative error of a cosine (a sum of non-negative products) in single precision.
 SLACK = 2.5e-4
 #: The least positive number here.
@@ -236,18 +236,28 @@ class ExampleIndex:
             sums[q] = np.bincount(self.docs.take(at), self.values.take(at) * np.repeat(x, size), self.n)
         # no cosine with an example of a block is above its bound
         bound = (np.maximum.reduceat(sums, edge, axis=1) + often @ self.tops) * (1 + SLACK)
-        valid, floor = np.zeros_like(sums), np.zeros(n_q)
-        rank = np.argsort(np.argsort(-bound, axis=1), axis=1)
-        for first, last in ((0, FIRST), (FIRST, 4 * FIRST), (4 * FIRST, self.blocks)):
-            want = (rank >= first) & (rank < last) & (bound >= floor[:, None]) & (bound > 0)
+        valid, floor = np.zeros((n_q, self.blocks * BLOCK), dtype=np.float32), np.zeros(n_q)
+        seen = np.zeros(bound.shape, dtype=bool)
+        for last in (FIRST, 4 * FIRST, self.blocks):
+            want = (bound >= floor[:, None]) & (bound > 0) & ~seen
+            if last < self.blocks:  # of these the ones of highest bound
+                high = np.argpartition(np.where(want, -bound, 0), last - 1, axis=1)[:, :last]
+                chosen = np.zeros_like(want)
+                np.put_along_axis(chosen, high, True, axis=1)
+                want &= chosen
+            seen |= want
             if not want.any():
                 continue
             for b in np.nonzero(want.any(axis=0))[0]:
                 q = np.nonzero(want[:, b])[0]
-                here = slice(b * BLOCK, (b + 1) * BLOCK)
+                here = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
                 valid[q, here] = sums[q, here] + often[q] @ self.matrix[here].T
             if skip:
                 valid[np.arange(n_q), skip] = 0
+            if last == FIRST < self.blocks and last * BLOCK > k:  # all texts at once: few blocks each
+                some = np.take_along_axis(valid.reshape(n_q, self.blocks, BLOCK), high[:, :, None], axis=1).reshape(n_q, -1)
+                floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] * (1 - SLACK)
+                continue
             for q in range(n_q):
                 high = valid[q][valid[q] >= max(floor[q], TINY)]
                 if len(high) >= k:  # a little less than the k-th highest
@@ -303,6 +313,11 @@ class ToxicityModel:
         self.vocab = np.unique(flat)
         terms = np.searchsorted(self.vocab, flat).astype(np.int32)
         del flat
+        # frequent terms first, so that what most texts look up lies close together
+        order = np.argsort(-np.bincount(terms, minlength=len(self.vocab)), kind="stable").astype(np.int32)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.vocab, terms = self.vocab[order], place[terms]
         toxic = np.repeat(self.labels.astype(bool), size)
         df = [np.bincount(terms[toxic == y], minlength=len(self.vocab)) for y in (False, True)]
         odds = np.log((df[1] + 0.5) / (sampled[1] + 1)) - np.log((df[0] + 0.5) / (sampled[0] + 1))
