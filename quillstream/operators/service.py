@@ -75,15 +75,20 @@ def error_guidance(status: Column) -> Column:
     return F.when(status == 429, BUSY_GUIDANCE).when(status == 422, INPUT_GUIDANCE)
 
 
+def is_base64(data: Column) -> Column:
+    """Whether a text is strict base64 (as BASE64 says): its alphabet, then padding, to a multiple of four."""
+    return (F.length(data) % 4 == 0) & data.rlike(r"^[A-Za-z0-9+/]*+={0,2}\z")
+
+
 def image_errors(mime: Column, data: Column, name: Column) -> Column:
-    """Names of broken rules of one image; decoding is strict (no blanks or line ends inside)."""
-    decoded = F.octet_length(F.try_to_binary(F.when(data.rlike(BASE64), data), F.lit("base64")))
+    """Names of broken rules of one image; decoding is strict (no blanks or line ends inside), and only its size is needed."""
+    decoded = F.when(is_base64(data), F.length(data) / 4 * 3 - (F.length(data) - F.length(F.rtrim(data, F.lit("=")))))
     rule = lambda bad, what: F.when(F.coalesce(bad, F.lit(True)), what)
     return F.array_compact(F.array(
         rule(~mime.isin(*IMAGE_TYPES), "mime_type"),
         F.when(F.length(name) > NAME_CHARS, "name"),
         rule((F.length(data) < 1) | (F.length(data) > IMAGE_CHARS), "data_length"),
-        rule(~data.rlike(BASE64), "base64"),
+        rule(~is_base64(data), "base64"),
         F.when(decoded > IMAGE_BYTES, "too_large"),
     ))
 

@@ -90,6 +90,28 @@ def test_request_and_image_rules(spark):
     assert got == [[], ["base64"], ["base64"], ["mime_type", "data_length"], ["base64"]]
 
 
+def test_base64_and_size_against_the_decoder(spark):
+    import base64
+    import binascii
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("AZaz09+/==\n _") for _ in range(rng.randrange(10))) for _ in range(800)] + [base64.b64encode(bytes(n)).decode() for n in (0, 1, 2, 3, 4)]
+    most = service.IMAGE_BYTES
+    texts += [base64.b64encode(bytes(n)).decode() for n in (most, most + 1, most + 2)]
+
+    def broken(t):
+        try:
+            decoded = base64.b64decode(t, validate=True)
+        except (binascii.Error, ValueError):
+            return ["base64"]
+        return ["too_large"] if len(decoded) > most else []
+
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = [[e for e in r.e if e != "data_length"] for r in df.select(service.image_errors(F.lit("image/png"), F.col("d"), F.lit("n")).alias("e")).collect()]
+    assert got == [broken(t) for t in texts]
+
+
 def test_answer_text(spark):
     df = spark.createDataFrame([("c", ["a", "b"], [("E1", "cit", "[t]\nbody")]), ("c", [], [])], "c string, r array<string>, e array<struct<evidence_id: string, citation: string, statement: string>>")
     got = [r.t for r in df.select(service.answer_text(F.lit("answered"), F.col("c"), F.col("r"), F.col("e")).alias("t")).collect()]
