@@ -9,11 +9,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.cluster import ship  # noqa: F401
@@ -71,20 +72,25 @@ def met(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
-#: Parts that a key's rows are dealt to before its lowest are found.
-SALTS = 64
+def lowest(rows: DataFrame, key: str, counts: dict, k: int) -> list[Row]:
+    """Of each value of ``key`` (``counts``: how many rows each has) the ``k`` rows (id, …) of lowest hash of the id.
 
-
-def lowest(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """Of each value of ``key`` the ``k`` rows (id, …) of lowest hash of the id.
-
-    Tasks keep k rows of a key and salt, then salts do, so the last step has SALTS * k rows of a key at most.
+    Hashes are uniform, so a bound on them leaves little more than k rows of a key, before any is shuffled; should it
+    leave fewer (as rows may repeat an id), all rows are ranked.
     """
-    hashed = [F.xxhash64("id"), F.col("id")]
-    salt = F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS))
-    for by in ([F.col(key), salt], [F.col(key)]):
-        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*hashed))).filter(F.col("_place") <= k).drop("_place")
-    return rows
+    if not counts:
+        return []
+    h = F.xxhash64("id")
+
+    def chosen(some: DataFrame) -> list[Row]:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(h, "id"))
+        return some.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place").collect()
+
+    bound = {x: min(2**63 - 1, -(2**63) + int(2**64 * (k + 8 * k**0.5 + 64) / n)) for x, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])[F.col(key)]
+    got = chosen(rows.filter(h <= limit))
+    have = Counter(r[key] for r in got)
+    return got if all(have[x] >= min(k, n) for x, n in counts.items()) else chosen(rows)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

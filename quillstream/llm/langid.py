@@ -172,10 +172,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
         if r.bucket >= 0:
             df[r.bucket] = r.n
     n_docs = next((r.n for r in total if r.bucket < 0), 0)
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    sample = lowest(rows.select("id", "lang").filter(F.col("lang").isin(langs)), "lang", per_language).select("id").distinct()
-    picked = docs.sparkSession.createDataFrame(sample.collect(), "id long")  # LANGUAGES * per_language rows at most
-    chosen = rows.join(F.broadcast(picked), "id").filter(F.col("lang").isin(langs)).select("id", "lang", "text")
+    langs = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sample = lowest(rows.select("id", "lang").filter(F.col("lang").isin(*langs)), "lang", langs, per_language)
+    picked = docs.sparkSession.createDataFrame(sorted({(r.id,) for r in sample if r.id is not None}), "id long")  # LANGUAGES * per_language rows at most
+    chosen = rows.join(F.broadcast(picked), "id").filter(F.col("lang").isin(*langs)).select("id", "lang", "text")
     got = chosen.mapInArrow(_features, "id long, lang string, i binary, c binary").collect()
     examples = sorted((r.id, r.lang, bytes(r.i), bytes(r.c)) for r in got)
     return LanguageModel([(lang, np.frombuffer(i, dtype=np.int16).astype(np.int64), np.frombuffer(c, dtype=np.int32)) for _, lang, i, c in examples], df, n_docs)

@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine with all examples over all their terms.
 
 Terms are words and word prefixes, as 64-bit hashes.  Every example (a bounded sample of labelled rows,
-``per_label`` of each label, lowest hash first) is indexed by all its terms; a term's inverse document frequency
-is lowered, down to ``FLOOR``, unless its log-odds between the labels is surely high, so cosine rests on what
+``per_label`` of each label, lowest hash first) is indexed by all its terms; a term weighs its frequency in the text
+times its inverse document frequency, which is lowered, down to ``FLOOR``, unless its log-odds between the labels is surely high, so cosine rests on what
 tells the labels apart where a text has such terms, and on the bulk of its words where it has none.
 
 The index is inverted and block-max.  The postings of a text's seldom terms are summed for all examples.
@@ -42,7 +42,7 @@ from quillstream.llm.shingles import mix, power_table
 PER_LABEL = 4000
 #: A term's weight is its inverse document frequency times a factor from FLOOR to 1, 1 where the lower bound of
 #: its log-odds is LOG_ODDS or more.
-FLOOR, LOG_ODDS = 0.05, 2.5
+FLOOR, LOG_ODDS = 0.05, 3.5
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 16
 #: Terms in more than one of so many examples are frequent: their scores are products of matrices.
@@ -190,7 +190,6 @@ class ExampleIndex:
     def _build(self) -> None:
         self.tie = self.order.astype(np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.log = np.concatenate(([0.0], 1 + np.log(np.arange(1, int(self.counts.max(initial=1)) + 1))))
         df = np.bincount(self.terms, minlength=len(self.weight))
         often = np.nonzero(df * DENSE > self.n)[0]
         self.blocks = -(-self.n // BLOCK)
@@ -203,7 +202,7 @@ class ExampleIndex:
             b = min(a + 256, self.n)
             here = slice(self.first[a], self.first[b - 1] + self.size[b - 1])
             row = np.repeat(np.arange(a, b), self.size[a:b])
-            x = self.log[self.counts[here]] * self.weight[self.terms[here]]
+            x = self.counts[here] * self.weight[self.terms[here]]
             self.norm[a:b] = np.sqrt(np.bincount(row - a, x * x, b - a))
             x = (x / self.norm[row]).astype(np.float32)
             at = self.column[self.terms[here]]
@@ -273,7 +272,7 @@ class ExampleIndex:
             terms = np.concatenate([self.terms[s] for s in spans])
             shared = np.nonzero(mine.take(terms))[0]
             counts = np.concatenate([self.counts[s] for s in spans])[shared]
-            dots = values.take(terms[shared]) * self.log.take(counts)
+            dots = values.take(terms[shared]) * counts
             of = np.searchsorted(np.cumsum(self.size[i]), shared, "right")
             cosines = np.round(np.bincount(of, dots, len(i)) / self.norm[i], 12)
             mine[t], values[t] = False, 0
@@ -340,7 +339,7 @@ class ToxicityModel:
         return self._shared
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (1 + np.log(counts)) * self.index.weight[terms]
+        x = counts * self.index.weight[terms]
         return terms, x / np.sqrt((x * x).sum())
 
     def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
@@ -439,7 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
         .groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     )
     count = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = spark.createDataFrame(lowest(marked, "y", per_label).select("id", "y").collect(), "id long, y int")  # 2 * per_label rows at most
+    picked = spark.createDataFrame([(r.id, r.y) for r in lowest(marked, "y", count, per_label)], "id long, y int")  # 2 * per_label rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
     got = rows.mapInArrow(_features, "id long, y int, h binary, c binary").toLocalIterator()
     model = ToxicityModel(((r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype=np.int32)) for r in got), (count.get(0, 0), count.get(1, 0)))
