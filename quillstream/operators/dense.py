@@ -57,19 +57,22 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return scan_topk(q, v, k, prepare, score)
 
 
-def dense_lsh(questions: DataFrame, vectors: DataFrame, k: int, bits: int = 6, tables: int = 24) -> DataFrame:
+def dense_lsh(questions: DataFrame, vectors: DataFrame, k: int, bits: int = 6, tables: int = 36) -> DataFrame:
     """Approximate (qid, chunk_id, score, rank): candidates share a sign pattern of random hyperplanes in some table.
 
     A question also probes, in each table, the pattern with the sign of its nearest hyperplane changed.
     """
+    import json
     import random
 
     dim = len(vectors.select("embedding").first().embedding)
     rng = random.Random(11)
     planes = [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
 
+    literal = F.from_json(F.lit(json.dumps(planes)), "array<array<array<double>>>")  # one literal in the plan
+
     def keys(col: str, probe: bool) -> Column:
-        sides = F.array(*[F.array(*[dot(F.col(col), F.array(*map(F.lit, plane))) for plane in table]) for table in planes])
+        sides = F.transform(literal, lambda table: F.transform(table, lambda plane: dot(F.col(col), plane)))
 
         def patterns(side: Column, t: Column) -> Column:
             code = F.lit(0)

@@ -115,9 +115,9 @@ def test_config_validation():
         RetrievalConfig(max_siblings=-1)
 
 
-def test_lsh_recall(spark):
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_lsh_recall(spark, d):
     """Recall at 10 of the registered parameters against the exact hits."""
-    d = "/root/testdata/sf0.1"
     v, q = corpus.vectors(spark, d), corpus.questions(spark, d).filter("embedding is not null")
     exact = {(r.qid, r.chunk_id) for r in dense.dense_topk(q, v, 10).collect()}
     found = {(r.qid, r.chunk_id) for r in dense.dense_lsh(q, v, 10).collect()}
