@@ -41,8 +41,17 @@ def written(df: DataFrame, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut and survives lost executors."""
+#: Shuffle partitions whose narrow rows go to one file.
+NARROW = 8
+
+
+def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut and survives lost executors.
+
+    ``narrow``: a few numbers a row, out of a shuffle; several partitions go to one file.
+    """
+    if narrow:
+        df = df.coalesce(max(NARROW, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
 
 

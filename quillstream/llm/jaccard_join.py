@@ -351,10 +351,10 @@ def _parted(members: DataFrame, block: int, elements: int) -> DataFrame:
 
     Only groups of several parts are looked up, so members of a large group aren't gathered for it.
     """
-    members = materialize(members, "members")
+    members = materialize(members, "members", True)
     size = members.groupBy("gid").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
     parts = F.greatest(F.ceil(F.col("rows") / F.lit(block)), F.ceil(F.col("elements") / F.lit(elements)), F.lit(1)).cast("int")
-    large = materialize(size.select("gid", parts.alias("parts")).filter("parts > 1"), "large")
+    large = materialize(size.select("gid", parts.alias("parts")).filter("parts > 1"), "large", True)
     out = members.join(F.broadcast(large) if few(large) is not None else large, "gid", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     return out.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
@@ -381,7 +381,7 @@ def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame],
     def labelled(pairs: DataFrame) -> DataFrame:
         """(gid, id, n, label) of the groups that hold several labels."""
         label = components(pairs).select(F.col("node").alias("id"), "component")
-        rows = materialize(several.join(label, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("label")), f"{tag}-labels")
+        rows = materialize(several.join(label, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("label")), f"{tag}-labels", True)
         mixed = rows.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("gid")
         return rows.join(mixed, "gid")
 
@@ -392,7 +392,7 @@ def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame],
         more = solved(stand, False, "stand")
         if more.isEmpty():
             break
-        pairs = materialize(pairs.unionByName(more), f"{tag}-pairs")
+        pairs = materialize(pairs.unionByName(more), f"{tag}-pairs", True)
     # the largest label of a group stays in its parts; the others also go to all parts, in blocks of their own
     most = apart.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     home = _parted(apart.select("gid", "id", "n", "label"), block, most_elements)
@@ -414,7 +414,7 @@ def filed_groups(keys: DataFrame, block: int) -> DataFrame:
     full = keys.filter("key < 0")
     live = full.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     large = full.join(live, "key").select("key", "id").unionByName(met.filter("big").select("key", F.explode("ids").alias("id"))).distinct()
-    large = materialize(large, "large")
+    large = materialize(large, "large", True)
     seen = large.groupBy("key").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.sum(F.xxhash64(F.lit("s"), "id").cast("decimal(38,0)")).alias("h2")
     )
@@ -461,11 +461,11 @@ def _join(docs: DataFrame, words: int, pct: int, id_col: str, text_col: str, blo
     hot = np.zeros(BUCKETS, dtype=bool)  # as large for any corpus
     hot[[r.bucket for r in buckets.filter(F.col("n") > mean + 8 * mean**0.5 + 32).select("bucket").collect()]] = True
     known = texts.filter("n > 0 and id is not null")
-    sets = materialize(known.groupBy("d1", "d2").agg(F.min("id").alias("set_id"), F.first("n").alias("n")), "sets")
+    sets = materialize(known.groupBy("d1", "d2").agg(F.min("id").alias("set_id"), F.first("n").alias("n")), "sets", True)
     stands = sets.select(F.col("set_id").alias("id")).distinct()
 
     # copies of sets that a smaller id stands for are not filed
-    copies = few(materialize(known.select("id").distinct().join(stands, "id", "left_anti"), "copies"))
+    copies = few(materialize(known.select("id").distinct().join(stands, "id", "left_anti"), "copies", True))
     firsts = rows.filter("id is not null")
     firsts = firsts.join(F.broadcast(copies), "id", "left_anti") if copies is not None else firsts
     filed = firsts.mapInArrow(_prefixes(words, pct, hot), "id long, n long, keys array<long>, bits binary").filter("n > 0")
@@ -479,7 +479,7 @@ def _join(docs: DataFrame, words: int, pct: int, id_col: str, text_col: str, blo
     clusters = components(near).select(F.col("component").alias("gid"), F.col("node").alias("id")).join(size, "id")
 
     def with_text(r: DataFrame) -> DataFrame:
-        small = few(materialize(r, "tried"))
+        small = few(materialize(r, "tried", True))
         return firsts.join(F.broadcast(small) if small is not None else r, "id").withColumn("n", F.lit(0)).withColumnRenamed("text", "data")
 
     links = spanning_pairs(clusters, with_text, pct, "links", k=words, block=block)

@@ -59,7 +59,7 @@ def line_dedup(
         .select("h1", "h2", "n", "keeper")
     )
     drops = (
-        met(held, materialize(common, "common"), ["h1", "h2"], "n")
+        met(held, materialize(common, "common", True), ["h1", "h2"], "n")
         .filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
         .groupBy("id", "t")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))

@@ -3,11 +3,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from fixtures import ROWS, awkward, empty
 
 from quillstream.llm import common
 from quillstream.llm import jaccard_join as J
-from quillstream.llm.components import components
+from quillstream.llm.components import components, labels
 from quillstream.llm.shingles import shingle_sets
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -158,7 +159,30 @@ def test_sets_equal_python_sets():
             assert (got[i].tolist() == got[j].tolist()) == (want[i] == want[j])
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, most):
+    monkeypatch.setattr("quillstream.llm.components.ONE_TASK", most)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 150)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 130)} | {150: 150, 200: 150}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_labels_against_a_plain_search():
+    rng = np.random.default_rng(7)
+    for n, m in ((30, 12), (2000, 1900), (500, 3000)):
+        u, v = rng.integers(0, n, m) * 3, rng.integers(0, n, m) * 3
+        root = {x: x for x in [*u.tolist(), *v.tolist()]}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        node, component = labels(u, v)
+        assert dict(zip(node.tolist(), component.tolist(), strict=True)) == {x: find(x) for x in root}
+    chain = np.arange(200_000)
+    assert (labels(chain[:-1], chain[1:])[1] == 0).all()
