@@ -55,11 +55,10 @@ def standard_id_invalid(c: Column) -> Column:
 
 def fold_width(c: Column) -> Column:
     """Full-width ASCII as ASCII, half-width kana as kana."""
-    ascii_ = F.when(c.rlike("[！-～]"), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
-    kana = ascii_
+    kana = F.translate(c, FULL_WIDTH, HALF_WIDTH)
     for half, full in VOICED_KANA:
         kana = F.replace(kana, F.lit(half), F.lit(full))
-    return F.when(c.rlike("[･-ﾟ]"), F.translate(kana, KANA, FULL_KANA)).otherwise(ascii_)
+    return F.when(c.rlike("[！-ﾟ]"), F.translate(kana, KANA, FULL_KANA)).otherwise(c)
 
 
 def words(c: Column) -> Column:
@@ -68,7 +67,8 @@ def words(c: Column) -> Column:
 
 
 def analyze(c: Column) -> Column:
-    """Tokens of the CJK analysis: bigrams over CJK runs (a single character as it is), other words whole, no stop words."""
+    """Tokens of the CJK analysis: bigrams over CJK runs (a single character as it is, as are those beyond the basic
+    plane), other words whole, no stop words."""
     marked = F.transform(words(c), lambda w: F.split(w, f"(?<=[{CJK}])(?=[^{CJK}])|(?<=[^{CJK}])(?=[{CJK}])"))
 
     def grams(run: Column) -> Column:
@@ -78,7 +78,9 @@ def analyze(c: Column) -> Column:
         ).otherwise(F.array(run))
 
     runs = F.flatten(marked)
-    tokens = F.when(c.rlike(f"[{CJK}ｦ-ﾟ]"), F.flatten(F.transform(runs, grams))).otherwise(words(c))
+    # a range is checked many times faster than scripts, and few other texts have characters in it
+    has_cjk = c.rlike(r"[\u1100-\x{10FFFF}]") & c.rlike(f"[{CJK}ｦ-ﾟ]")
+    tokens = F.when(has_cjk, F.flatten(F.transform(runs, grams))).otherwise(words(c))
     return F.filter(tokens, lambda w: ~w.isin(*STOP_WORDS))
 
 

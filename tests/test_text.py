@@ -27,6 +27,17 @@ def test_analyze_makes_bigrams_of_cjk_runs(spark):
     assert got == [["금융", "융상", "상품", "회계", "abc"], ["자"], ["복합", "k", "금융", "융상"], ["ab1"], []]
 
 
+def test_widths_and_stop_words(spark):
+    import unicodedata
+
+    texts = ["ｶﾞｷﾞﾊﾟ･ｱ", "ＡＢ１ ｶ", "The cat and THE dog www", "ＴＨＥ end", "a ｶﾀｶﾅ b", "plain", "naïve “quoted” — text", "𠀀𠀁𠀂"]
+    folded = apply(spark, T.fold_width, *texts)
+    assert folded == [unicodedata.normalize("NFKC", t) for t in texts]
+    got = apply(spark, T.analyze, *texts)
+    assert got[2:4] == [["cat", "dog"], ["end"]] and got[5:] == [["plain"], ["naïve", "quoted", "text"], ["𠀀", "𠀁", "𠀂"]]
+    assert got[4] == ["カタ", "タカ", "カナ", "b"]
+
+
 def test_citation_order(spark):
     rows = [("문단 1", "x", "1109", "2", "C"), (" ", "x", "1109", "2", "C"), (None, " 부록 ", "1109", "2", "C"), (None, None, "1109", "", "C"), ("", "", None, None, "C")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, s string, p string, c string")
