@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import ship, slices, texts
+from quillstream.llm.common import KEPT, mapped, ship, slices, texts
 
 END = "</w>"
 #: Words, and pair verdicts, that a worker keeps at most, and about the bytes of its words.
@@ -262,11 +262,12 @@ _MODELS: dict[int, WordBpe] = {}
 
 
 def model_of(text: str) -> WordBpe:
-    """The worker's tokenizer for a vocabulary."""
+    """The worker's tokenizer for a vocabulary, kept until a task of another operator comes."""
     key = hash(text)
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = WordBpe(text)
+    KEPT["bpe"] = _MODELS.clear
     return _MODELS[key]
 
 
@@ -285,7 +286,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.transform(mapped, run, "id long, ids binary, decoded string", "bpe").withColumnRenamed("id", id_col)
 
 
 def op6_bpe(docs: DataFrame, path: str) -> DataFrame:

@@ -10,12 +10,13 @@ import shutil
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstream.cluster import ship  # noqa: F401
 
@@ -122,10 +123,45 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator
 
 def trim() -> None:
     """Give memory that a worker no longer uses back to the machine: idle workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What this worker keeps from task to task: of an operator the function that lets go of it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def let_go(but: str = "") -> None:
+    """Drop what other operators' tasks have kept in this worker."""
+    gone = [KEPT.pop(x) for x in [*KEPT] if x != but]
+    for drop in gone:
+        drop()
+    if gone:
+        trim()
+
+
+#: Bytes of the Arrow batches that workers are sent, unless the session has a setting: a task's texts are copied in
+#: the JVM's buffers and again in the worker's.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def mapped(rows: DataFrame, run: Callable, schema: str | StructType, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` in small batches; tasks start without what other operators kept in the worker (``keeps``: this one),
+    and give freed memory back."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
+        yield from run(batches)
+        trim()
+
+    return rows.mapInArrow(task, schema)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a column, null as the empty one."""
     return [x if x is not None else "" for x in column.to_pylist()]

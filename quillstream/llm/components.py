@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialize, ship
+from quillstream.llm.common import mapped, materialize, ship
 
 #: Edges that one task takes (16 bytes each).
 ONE_TASK = 1_000_000
@@ -57,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     if before[0] <= ONE_TASK:
         ship(edges.sparkSession)
-        return materialize(e.repartition(1).mapInArrow(_in_one_task, "node long, component long"), "components")
+        return materialize(e.repartition(1).transform(mapped, _in_one_task, "node long, component long"), "components")
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import few, materialize, ship, slices
+from quillstream.llm.common import few, mapped, materialize, ship, slices
 from quillstream.llm.components import components
 from quillstream.llm.shingles import mix, shingle_sets
 
@@ -368,7 +368,7 @@ def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame],
     def solved(rows: DataFrame, across: bool, name: str) -> DataFrame:
         """rows: gid, p, q, side, id, label."""
         dealt = attach(rows).select("gid", "p", "q", "side", "id", "label", "n", "data")
-        return materialize(dealt.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInArrow(_solve(pct, across, k), _PAIR), f"{tag}-{name}")
+        return materialize(dealt.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").transform(mapped, _solve(pct, across, k), _PAIR), f"{tag}-{name}")
 
     zero = F.lit(0)
     most_elements = BLOCK_ELEMENTS * (1 if k else 64 // (2 * NARROW))  # as many bytes of sets or of bitmaps
@@ -408,7 +408,7 @@ def spanning_pairs(members: DataFrame, attach: Callable[[DataFrame], DataFrame],
 def filed_groups(keys: DataFrame, block: int) -> DataFrame:
     """(gid, id): of the keys (key, id) with two ids at least, one of those that hold the same ids."""
     ordinary = keys.filter("key >= 0").repartition("key").sortWithinPartitions("key", "id")
-    met = materialize(ordinary.mapInArrow(_gather(block), "key long, ids array<long>, h1 long, h2 long, big boolean"), "met")
+    met = materialize(ordinary.transform(mapped, _gather(block), "key long, ids array<long>, h1 long, h2 long, big boolean"), "met")
     small = met.filter("not big").groupBy("h1", "h2").agg(F.min_by("ids", "key").alias("ids"), F.min("key").alias("gid"))
     # keys of full buckets, and those beyond a block: counted before rows are gathered
     full = keys.filter("key < 0")
@@ -444,7 +444,7 @@ def ngram_jaccard_links(docs: DataFrame, words: int = 5, pct: int = 80, id_col:
 
     def solved(some: DataFrame, across: bool) -> DataFrame:
         ready = with_text(some).select("gid", "p", "q", "side", "id", "label", "n", "data")
-        return ready.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInArrow(_solve(pct, across, k, True), _PAIR)
+        return ready.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").transform(mapped, _solve(pct, across, k, True), _PAIR)
 
     links = solved(rows.filter("p = q"), False).unionByName(solved(rows.filter("p < q"), True)).distinct()
     return materialize(links, "links"), member
@@ -454,7 +454,7 @@ def _join(docs: DataFrame, words: int, pct: int, id_col: str, text_col: str, blo
     """The join's result, and what it was made from: candidate pairs, clusters, texts by id, the shingle size."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    passed = materialize(rows.mapInArrow(_digests(words), "id long, n long, d1 long, d2 long, bucket int"), "digests")
+    passed = materialize(rows.transform(mapped, _digests(words), "id long, n long, d1 long, d2 long, bucket int"), "digests")
     texts = passed.filter("bucket is null").drop("bucket")
     buckets = passed.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
     mean = (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS
@@ -468,7 +468,7 @@ def _join(docs: DataFrame, words: int, pct: int, id_col: str, text_col: str, blo
     copies = few(materialize(known.select("id").distinct().join(stands, "id", "left_anti"), "copies", True))
     firsts = rows.filter("id is not null")
     firsts = firsts.join(F.broadcast(copies), "id", "left_anti") if copies is not None else firsts
-    filed = firsts.mapInArrow(_prefixes(words, pct, hot), "id long, n long, keys array<long>, bits binary").filter("n > 0")
+    filed = firsts.transform(mapped, _prefixes(words, pct, hot), "id long, n long, keys array<long>, bits binary").filter("n > 0")
     filed = materialize(filed if copies is not None else filed.join(stands, "id", "left_semi"), "filed")
 
     size = filed.groupBy("id").agg(F.max("n").alias("n"))

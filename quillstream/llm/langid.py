@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import lowest, ship, slices, texts
+from quillstream.llm.common import lowest, mapped, ship, slices, texts
 from quillstream.llm.toxicity import remainder
 
 BUCKETS = 1 << 14
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     """A model from rows that aren't held out and have a language."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null").filter(remainder(F.col("id")) != 2)
-    total = rows.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    total = rows.select("text").transform(mapped, _frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS)
     for r in total:  # BUCKETS rows at most
         if r.bucket >= 0:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     sample = lowest(rows.select("id", "lang").filter(F.col("lang").isin(*langs)), "lang", langs, per_language)
     picked = docs.sparkSession.createDataFrame(sorted({(r.id,) for r in sample if r.id is not None}), "id long")  # LANGUAGES * per_language rows at most
     chosen = rows.join(F.broadcast(picked), "id").filter(F.col("lang").isin(*langs)).select("id", "lang", "text")
-    got = chosen.mapInArrow(_features, "id long, lang string, i binary, c binary").collect()
+    got = chosen.transform(mapped, _features, "id long, lang string, i binary, c binary").collect()
     examples = sorted((r.id, r.lang, bytes(r.i), bytes(r.c)) for r in got)
     return LanguageModel([(lang, np.frombuffer(i, dtype=np.int16).astype(np.int64), np.frombuffer(c, dtype=np.int32)) for _, lang, i, c in examples], df, n_docs)
 
@@ -204,7 +204,7 @@ def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.transform(mapped, run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op8_language_id(docs: DataFrame) -> DataFrame:

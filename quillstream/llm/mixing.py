@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm import langid
-from quillstream.llm.common import materialize, ship, slices, texts
+from quillstream.llm.common import mapped, materialize, ship, slices, texts
 
 #: Steps at most; a share of the budget that counts as met or as no change, and one that is worth a warning.
 STEPS, TOLERANCE, MISSED = 25, 1e-6, 1e-3
@@ -58,7 +58,7 @@ def _posteriors(batches: DataFrame, model: langid.LanguageModel) -> DataFrame:
                     names=["id", "tokens", "p"],
                 )
 
-    return batches.mapInArrow(run, "id long, tokens long, p array<double>")
+    return batches.transform(mapped, run, "id long, tokens long, p array<double>")
 
 
 def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
@@ -75,7 +75,7 @@ def _totals(table: DataFrame, steps: np.ndarray, d: int, min_rate: float, gram:
             total += ((p * t[:, None]).T @ p).ravel() if gram else (replay(p, steps, min_rate) * t) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "x"])
 
-    sums = table.filter("p is not null").select("tokens", "p").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    sums = table.filter("p is not null").select("tokens", "p").transform(mapped, run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(d * d if gram else d)
     for r in sums:
         out[r["at"]] = r.x
@@ -135,7 +135,7 @@ def mixing_rates(
                 rate[has] = replay(_matrix(batch.column(2).filter(pa.array(has)), d), s, min_rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(rate, 9))], names=["id", "tokens", "posterior", "rate"])
 
-    out = table.mapInArrow(run, "id long, tokens long, posterior array<double>, rate double")
+    out = table.transform(mapped, run, "id long, tokens long, posterior array<double>, rate double")
     draw = F.pmod(F.xxhash64(F.lit("mixing"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long")).withColumnRenamed("id", id_col)

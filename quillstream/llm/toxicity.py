@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import lowest, ship, slices, texts, trim
+from quillstream.llm.common import lowest, mapped, ship, slices, texts, trim
 from quillstream.llm.shingles import mix, power_table
 
 #: Labelled rows of each label that a model is fitted on at most.
@@ -440,7 +440,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
     count = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = spark.createDataFrame([(r.id, r.y) for r in lowest(marked, "y", count, per_label)], "id long, y int")  # 2 * per_label rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
-    got = rows.mapInArrow(_features, "id long, y int, h binary, c binary").toLocalIterator()
+    got = rows.transform(mapped, _features, "id long, y int, h binary, c binary").toLocalIterator()
     model = ToxicityModel(((r.id, r.y, np.frombuffer(r.h, dtype=np.uint64), np.frombuffer(r.c, dtype=np.int32)) for r in got), (count.get(0, 0), count.get(1, 0)))
     if model.usable:
         shared = model.shared(spark)
@@ -448,10 +448,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
         def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.left_out_votes(batch.column(0).to_pylist()), pa.float64())], names=["i", "vote"])
-            trim()
 
         n = len(model.ids)
-        votes = spark.range(0, n, 1, max(1, min(-(-n // 500), spark.sparkContext.defaultParallelism))).mapInArrow(vote, "i long, vote double").collect()
+        votes = spark.range(0, n, 1, max(1, min(-(-n // 500), spark.sparkContext.defaultParallelism))).transform(mapped, vote, "i long, vote double").collect()
         model.calibrate([r.vote for r in sorted(votes)])
     return model
 
@@ -475,10 +474,9 @@ def toxicity(
                 offsets = np.concatenate(([0], np.cumsum([len(g[2]) for g in got]))).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(ids), pa.array(np.concatenate([g[1] for g in got])), pa.array(labels)], names=["doc_id", "cosine", "toxic"])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "score", "evidence"])
-        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    out = rows.transform(mapped, run, "id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
@@ -495,9 +493,8 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
         for whole in batches:
             for batch in slices(whole, at):
                 yield batch.filter(pa.array([s < threshold for s, _, _ in m.scores(texts(batch.column(at)))], pa.bool_()))
-        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from fixtures import ROWS, awkward, empty
 from pyspark.sql import functions as F
 
+from quillstream.llm import bpe as B
+from quillstream.llm import common
 from quillstream.llm import langid as L
 from quillstream.llm import mixing as M
 from quillstream.llm import toxicity as T
@@ -336,3 +339,40 @@ def test_mixing_tells_what_it_misses(spark):
 def test_mixing_awkward(spark):
     assert M.mixing_rates(awkward(spark), awkward(spark)).count() == len(ROWS)
     assert M.mixing_rates(empty(spark), empty(spark)).collect() == []
+
+
+class _Rows:
+    """Stands for a table: a task over no batches runs at once, here."""
+
+    def __init__(self, session):
+        self.sparkSession = session
+
+    def mapInArrow(self, task, schema):
+        return list(task(iter([])))
+
+
+def test_tasks_drop_what_other_operators_kept(spark):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    kept = B.model_of(vocabulary)
+    kept.encode_batch(["a few words"])
+    common.mapped(_Rows(spark), lambda batches: batches, "id long", "bpe")
+    assert B.model_of(vocabulary) is kept and kept.words
+    common.mapped(_Rows(spark), lambda batches: batches, "id long")
+    assert not B._MODELS
+    assert B.model_of(vocabulary).encode_batch(["a few words"]) == kept.encode_batch(["a few words"])
+
+
+def test_operators_are_sent_small_batches(spark):
+    spark.conf.unset(common.BATCH)
+    docs = spark.range(0, 64, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('a few words ', 40000)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"])
+
+    got = common.mapped(docs, sizes, "n long, b long").collect()
+    assert sum(r.n for r in got) == 64 and max(r.b for r in got) <= 2 * common.BATCH_BYTES
+    spark.conf.set(common.BATCH, "64m")  # a session's own setting stays
+    assert max(r.n for r in common.mapped(docs, sizes, "n long, b long").collect()) == 64
+    spark.conf.unset(common.BATCH)
