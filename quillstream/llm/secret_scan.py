@@ -57,6 +57,8 @@ LEX = re.compile(
 #: What may stand between the parts of an expression: on a line, and inside parentheses or after a sign.
 BLANK = re.compile(rb"(?:[ \t]++|\\\r?\n)*+")
 WIDE_BLANK = re.compile(rb"(?:\s++|\\\r?\n|#[^\n]*+|//[^\n]*+)*+")
+#: The bytes that blanks, within a line and beyond it, and strings start with.
+BLANK_AT, WIDE_AT, STRING_AT = frozenset(b" \t\\"), frozenset(b" \t\n\v\f\r\\#/"), frozenset(b"\"'`rRbBuUfF")
 PREFIX = re.compile(rb"(?:[rRbBuUfF]{1,2}(?=[\"']))?+")
 QUOTED = re.compile(rb""""(?:[^"\n\\]|\\[^\n])*+"|'(?:[^'\n\\]|\\[^\n])*+'|`[^`\n]*+`""")
 BARE = re.compile(rb"""[^\s"'`,;(){}\[\]<>]++""")
@@ -134,6 +136,8 @@ def block_scalar(data: bytes, at: int, line_start: int) -> Value:
 
 def string_at(data: bytes, at: int) -> tuple[int, int, int] | None:
     """(start, end) of the inside of a quoted string at a position, and where the string ends."""
+    if at >= len(data) or data[at] not in STRING_AT:
+        return None
     at = PREFIX.match(data, at).end()
     for quotes in (b'"""', b"'''"):
         if data.startswith(quotes, at) and (end := data.find(quotes, at + 3)) >= 0:
@@ -142,13 +146,20 @@ def string_at(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (m.start() + 1, m.end() - 1, m.end()) if m else None
 
 
+def after_blank(data: bytes, at: int, wide: bool) -> int:
+    """The position after the blanks that stand at a position."""
+    if at >= len(data) or data[at] not in (WIDE_AT if wide else BLANK_AT):
+        return at
+    return (WIDE_BLANK if wide else BLANK).match(data, at).end()
+
+
 def expression(data: bytes, at: int, constants: Constants) -> Value:
     """The literals of the expression that begins at a position."""
     parts: list[bytes] = []
     spans: list[tuple[int, int]] = []
     depth, after_sign, end = 0, False, at
     while True:
-        at = (WIDE_BLANK if depth or after_sign else BLANK).match(data, at).end()
+        at = after_blank(data, at, depth > 0 or after_sign)
         if data.startswith(b"(", at) and (after_sign or not parts):
             depth, at = depth + 1, at + 1
             continue
@@ -173,11 +184,11 @@ def expression(data: bytes, at: int, constants: Constants) -> Value:
                 spans.append(m.span())
         else:
             break
-        at = (WIDE_BLANK if depth else BLANK).match(data, at).end()
+        at = after_blank(data, at, depth > 0)
         while depth and data.startswith(b")", at):
             depth, at = depth - 1, at + 1
             end = at
-            at = (WIDE_BLANK if depth else BLANK).match(data, at).end()
+            at = after_blank(data, at, depth > 0)
         after_sign = data.startswith(b"+", at) and not data.startswith((b"++", b"+="), at)
         if after_sign:
             at += 1
@@ -192,7 +203,7 @@ def lexed_spans(data: bytes) -> list[Span]:
     out = []
     end = 0
     while m := LEX.search(data, end):
-        names = [n for n in (m["qname"] or m["sname"] or m["name"], m["also"]) if n]
+        names = [n for n in m.group("qname", "sname", "name", "also") if n]
         if mark := BLOCK_MARK.match(data, m.end()):
             value = block_scalar(data, mark.end(), data.rfind(b"\n", 0, m.start()) + 1)
         else:
@@ -202,7 +213,10 @@ def lexed_spans(data: bytes) -> list[Span]:
             for n in names:
                 constants.pop(n, None)
             continue
-        constants.update((n, (value.text, value.spans)) for n in names)
+        for n in names:
+            constants[n] = value.text, value.spans
+        if len(value.text) < MIN_ASSIGN:  # scores nothing, whatever its name
+            continue
         if (w := max(sensitivity(n.decode()) for n in names)) and literal_score(w, value.text) >= THRESHOLD:
             out += [Span(a, 3, b) for a, b in value.spans if b > a]
     return out

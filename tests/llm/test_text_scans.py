@@ -268,3 +268,11 @@ def test_fingerprints_in_order_of_ids(spark):
     assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
     one = W.fingerprints(spark.createDataFrame([(5, "abc")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_names_of_short_literals_are_not_weighed(monkeypatch):
+    asked = []
+    weigh = S.sensitivity
+    monkeypatch.setattr(S, "sensitivity", lambda name: asked.append(name) or weigh(name))
+    data = b'pwd = "short"\npin: 1234\nsigning_pwd = "Xk29fLq81mZp"\n' + b"a: b " * 1000
+    assert [data[s.start : s.end] for s in S.lexed_spans(data)] == [b"Xk29fLq81mZp"] and asked == ["signing_pwd"]
